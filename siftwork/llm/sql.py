@@ -40,3 +40,44 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   array_to_string(failures, ',') AS failed
 FROM f
 """
+
+ORACLES["op3_url_filter"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url,
+    lower(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)) AS host,
+    regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages
+), hosts AS (
+  SELECT host, NOT bool_or(lower(substr(url, 1, 8)) = 'https://') AS listed FROM p WHERE host <> '' GROUP BY host
+), r AS (
+  SELECT page_id, p.host, path, coalesce(listed, false) AS listed, CASE
+    WHEN (p.host = 'example.com' OR ends_with(p.host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (p.host = 'example.net' OR ends_with(p.host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (p.host = 'org' OR ends_with(p.host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (p.host = 'net' OR ends_with(p.host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM p LEFT JOIN hosts ON p.host = hosts.host
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN listed THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
+ORACLES["op7_line_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL
+), p AS (
+  SELECT doc_id, i, x[i] || chr(10) || x[i + 1] || chr(10) || x[i + 2] AS g
+  FROM (SELECT doc_id, x, unnest(generate_series(1, len(x) - 2)) AS i FROM d)
+), o AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM p WHERE regexp_matches(g, '[^\x20\x09-\x0D]')) WHERE n > 1
+), c AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM o, (VALUES (0), (1), (2)) AS t(k)
+), k AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS kept, count(*) AS n
+  FROM (SELECT doc_id, i, x[i] AS line FROM (SELECT doc_id, x, unnest(generate_series(1, len(x))) AS i FROM d)) AS l
+  ANTI JOIN c ON c.doc_id = l.doc_id AND c.i = l.i GROUP BY l.doc_id
+)
+SELECT t.doc_id, coalesce(len(x), 0)::BIGINT AS n_lines, (coalesce(len(x), 0) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents t LEFT JOIN d ON d.doc_id = t.doc_id LEFT JOIN k ON k.doc_id = t.doc_id
+"""
