@@ -9,7 +9,7 @@ sides that adaptive execution may split where one window is hot. Texts are shuff
 Defined results: null texts stay null with 0 lines; an empty text is one empty line; documents of
 fewer than three lines have no window and stay whole; windows without any word are no windows, so
 blank stretches stay. Of rows that repeat a doc_id with the same text none is earlier than the
-other. All input columns stay; ``n_lines``, ``n_removed`` and ``kept`` replace columns of that name.
+other; documents without doc_id stay whole. All input columns stay; ``n_lines``, ``n_removed`` and ``kept`` replace columns of that name.
 """
 
 from __future__ import annotations
@@ -74,9 +74,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with repeated lines removed; a document of which nothing is left goes."""
-    out = dedup_lines(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    changed = out.where("n_removed = 0 or kept rlike '[^\\\\x20\\\\x09-\\\\x0D]'").withColumn("text", text)
+    packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__all"))
+    out = dedup_lines(packed).where(r"n_removed = 0 or kept rlike '[^\\x20\\x09-\\x0D]'")
+    changed = F.col("n_removed") > 0
+    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return changed.select(docs.columns)
+        new["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__all.n_chars"))
+    return out.select(*(new.get(c, F.col(f"__all.`{c}`")).alias(c) for c in docs.columns))

@@ -7,7 +7,7 @@ documents take part, until a bucket holds one hash. No rows are sorted, and a la
 always takes a superset.
 
 Defined results: a null source is a source of its own, after all others; documents without words
-have size 0, are never counted and take 0; equal doc_ids have equal hashes and go in or stay out
+have size 0, are never counted and take 0; equal doc_ids, null ones too, have equal hashes and go in or stay out
 together; an empty table gives an empty result. Input columns stay in ``mix``.
 """
 
@@ -98,6 +98,6 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: documents as often as it takes them, those that it doesn't take left out."""
-    copies = mix(docs.select("doc_id", "source", "text")).where("copies > 0").select("doc_id", "copies").distinct()
-    repeated = docs.join(copies, "doc_id")
-    return repeated.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(docs.columns)
+    copies = mix(docs.select("doc_id", "source", "text")).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies")).distinct()
+    repeated = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return repeated.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
