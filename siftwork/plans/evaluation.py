@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.functions import exprs
-from siftwork.operators import calibrate, cases, checks, metrics
+from siftwork.operators import calibrate, cases, checks, metrics, training
 from siftwork.plans.registry import query
 from siftwork.sources.registry import FAMILIES
 from siftwork.sources.views import scores, scores_sql, table
@@ -209,3 +209,22 @@ def family_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def temperature_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.fit_temperature(scores(spark, sf_dir).where("condition_id = 'clean'"))
+
+
+@query("""WITH h AS (SELECT dayofyear(l_shipdate)::BIGINT AS epoch, max(l_extendedprice) AS score FROM lineitem GROUP BY 1),
+m AS (SELECT *, row_number() OVER (ORDER BY epoch) AS place, max(score) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM h),
+b AS (SELECT *, max(CASE WHEN prior IS NULL OR score > prior THEN place END) OVER (ORDER BY epoch) AS best_at, max(score) OVER (ORDER BY epoch) AS best FROM m)
+SELECT epoch, score, best, place - best_at AS since_best, place - best_at >= 3 AS stop FROM b""")
+def early_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = table(spark, sf_dir, "lineitem").groupBy(F.dayofyear("l_shipdate").cast("long").alias("epoch")).agg(F.max("l_extendedprice").alias("score"))
+    return training.early_stopping(history, patience=3)
+
+
+@query(f"""WITH {_S}, h AS (SELECT sample_id, label, milli / 1000.0::DOUBLE AS z, row_number() OVER (PARTITION BY sample_id ORDER BY CASE WHEN label = 1 THEN milli ELSE -milli END, condition_id) AS rn FROM scores WHERE condition_id <> 'clean'),
+p AS (SELECT h.label::DOUBLE AS y, h.z AS zt, c.logit AS zc FROM h JOIN scores c ON c.sample_id = h.sample_id AND c.condition_id = 'clean' WHERE rn = 1)
+SELECT count(*) AS n, round(avg({_BCE.format(z='zc')}), 8) AS clean_loss, round(avg({_BCE.format(z='zt')}), 8) AS transformed_loss, round(avg((zc - zt) ** 2), 8) AS logit_consistency,
+  round(avg({_BCE.format(z='zc')}) + avg({_BCE.format(z='zt')}) + 0.25 * avg((zc - zt) ** 2), 8) AS total FROM p""")
+def hard_mined_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scores(spark, sf_dir)
+    loss = training.hard_mined_loss(rows.where("condition_id <> 'clean'"), rows.where("condition_id = 'clean'"))
+    return loss.withColumns({c: F.round(c, 8) for c in loss.columns if c != "n"})
