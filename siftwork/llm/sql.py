@@ -81,3 +81,52 @@ WITH d AS (
 SELECT t.doc_id, coalesce(len(x), 0)::BIGINT AS n_lines, (coalesce(len(x), 0) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents t LEFT JOIN d ON d.doc_id = t.doc_id LEFT JOIN k ON k.doc_id = t.doc_id
 """
+
+ORACLES["op1_substring_dedup"] = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), p AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM d)
+), o AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM p) WHERE n > 1
+), c AS (
+  SELECT DISTINCT doc_id, i + k AS i FROM o, (SELECT unnest(generate_series(0, 19)) AS k) AS t
+), k AS (
+  SELECT e.doc_id, string_agg(e.x, ' ' ORDER BY e.i) AS kept, count(*) AS n
+  FROM (SELECT doc_id, i, w[i] AS x FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d)) AS e
+  ANTI JOIN c ON c.doc_id = e.doc_id AND c.i = e.i GROUP BY e.doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
+ORACLES["op6_chat_tree"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), t AS (
+  SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS learned,
+    length(regexp_replace(role, '(\\|###|</turn>|:)', '_\1', 'g')) + length(regexp_replace(text, '(\\|###|</turn>)', '_\1', 'g')) + 14 AS n
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(length(learned))::BIGINT AS loss_chars, sha256(string_agg(learned, '' ORDER BY turn, role, text)) AS loss_sha256, sum(n)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+ORACLES["op10_near_dedup"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)
+), bi AS (SELECT x, y FROM links UNION SELECT y, x FROM links), reach AS (
+  SELECT doc_id AS id, doc_id AS r FROM d UNION SELECT reach.id, bi.y FROM reach JOIN bi ON bi.x = reach.r
+), comp AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN comp ON comp.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
