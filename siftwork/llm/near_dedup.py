@@ -11,9 +11,11 @@ At a similarity of 0.75 a pair shares no table with probability 2 * (1 - 0.75**3
    table keys.
 3. In each table the member with most shared half keys is the centre; all others are verified
    against it. That finds the links of a group around a base in as many pairs as members.
-4. Links make components. What is left are pairs of members of one table in different components;
-   each of them is verified too, so no table's pair goes untested whatever the table's size; pairs
-   inside one component are never formed.
+4. Links make components. What is left are pairs in different components. The members of tables
+   that hold several components meet once more by two exact filters, on the rarest elements in which
+   they differ from a common pivot and on their rarest shingles, and those pairs are verified too; so
+   no table's pair is lost whatever the table's size, and neither pairs inside a component nor all
+   pairs of a table are ever formed.
 
 Every link is confirmed on full sets. Nothing is capped.
 
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.bytescan import Runs, Texts, pieces, spread
@@ -131,29 +133,84 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = written(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first")))
     distinct = signed.join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
     members = _members(distinct)
-    centres = written(members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("neg"), "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", (-F.col("c.neg")).alias("centre"), F.col("c.n").alias("centre_n")))
+    centres = written(members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("neg"), "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", (-F.col("c.neg")).alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.weight").alias("centre_weight")))
     star = members.join(centres, "key").where("doc_id <> centre").where(_could_reach("n", "centre_n"))
     pairs = written(star.select(F.least("doc_id", "centre").alias("x"), F.greatest("doc_id", "centre").alias("y")).distinct())
     several = written(members.join(centres, "key", "left_semi"))
     sets = written(docs.join(several.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items array<long>"))
     found = written(_verified(pairs, sets))
-    rest = _rest(several, centres, found)
+    rest = written(_rest(several, centres, connected_components(found, "x", "y"), sets))
     more = written(_verified(rest.join(pairs, ["x", "y"], "left_anti"), sets))
     copies = signed.join(firsts, "digest", "left").select("doc_id", "n_shingles", "first")
     return copies, found.unionByName(more)
 
 
-def _rest(several: DataFrame, centres: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of one table in different components, those of its centre left out as they are verified."""
-    groups = connected_components(found, "x", "y")
-    labelled = written(several.join(groups.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")))
-    # the members outside the centre's component, against all others outside their own
-    main = written(labelled.join(centres.select("key", F.col("centre").alias("doc_id")), ["key", "doc_id"]).select("key", F.col("component").alias("main")))
-    outside = labelled.join(main, "key").where("component <> main")
-    left = outside.select("key", F.col("doc_id").alias("x0"), F.col("n").alias("x_n"), F.col("component").alias("x_c"))
-    right = labelled.select("key", F.col("doc_id").alias("y0"), F.col("n").alias("y_n"), F.col("component").alias("y_c"))
-    crossed = left.join(right, "key").where("x_c <> y_c").where(_could_reach("x_n", "y_n"))
-    return crossed.select(F.least("x0", "y0").alias("x"), F.greatest("x0", "y0").alias("y")).distinct()
+def _undecided(several: DataFrame, centres: DataFrame, groups: DataFrame) -> DataFrame:
+    """(doc_id, component, pivot) of the members of tables that hold more than one component.
+
+    The pivot is the heaviest centre of all tables that the document is in.
+    """
+    labelled = written(several.join(groups.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+    mixed = written(labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"))
+    open_ = written(labelled.join(mixed, "key", "left_semi").select("doc_id").distinct())
+    rows = labelled.join(open_, "doc_id", "left_semi").join(centres, "key")
+    return rows.groupBy("doc_id", "component").agg(F.max(F.struct("centre_weight", (-F.col("centre")).alias("neg"))).alias("c")).select("doc_id", "component", (-F.col("c.neg")).alias("pivot"))
+
+
+def _rarest_first(rows: DataFrame, keys: list[str], size: str, prefix: Column) -> DataFrame:
+    """keys, item, at: the first ``prefix`` elements of each row's ``items``, rarest first over all rows, without those it has alone.
+
+    ``at`` counts from 1 in that order; elements that one row has alone come first and only move
+    the others back.
+    """
+    items = written(rows.select(*keys, F.explode("items").alias("item")))
+    shared = written(items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"))
+    kept = items.join(shared, "item").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("s"))
+    alone = F.col(size) - F.size("s")
+    placed = kept.select(*keys, alone.alias("alone"), prefix.alias("prefix"), F.posexplode("s").alias("i", "entry"))
+    return written(placed.withColumn("at", F.col("alone") + F.col("i") + 1).where("at <= prefix").select(*keys, F.col("entry.item").alias("item"), "at"))
+
+
+def _joined(prefixes: DataFrame, columns: list[str], also: list[str]) -> DataFrame:
+    """Pairs of rows (columns with x_ and y_) that share an element, x's doc_id the smaller, in different components."""
+    left, right = (prefixes.select("item", *also, *(F.col(c).alias(f"{s}_{c}") for c in columns)) for s in ("x", "y"))
+    return left.join(right, ["item", *also]).where("x_doc_id < y_doc_id and x_component <> y_component").where(_could_reach("x_n", "y_n"))
+
+
+def _rest(several: DataFrame, centres: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of documents in different components that meet in a table and may reach the similarity.
+
+    All pairs of a table would grow with the square of its size, so two exact filters find those
+    that count. Sets x and y reach the similarity iff they differ in at most (|x| + |y|) / 7 elements.
+
+    With the same pivot p, let E(x) be the elements in which x and p differ. x and y then differ in
+    |E(x)| + |E(y)| - 2 |E(x) & E(y)|, which bounds from below how many of their differences from
+    the pivot they share. One of the two isn't linked with the pivot, or they were in one
+    component, and so the bound is positive: documents that were edited apart share none of their
+    rarest differences and never meet.
+
+    With different pivots, x and y share one of the rarest |x| - ceil(0.75 |x|) + 1 shingles of each.
+    """
+    open_ = written(_undecided(several, centres, groups))
+    own = open_.join(sets, "doc_id").withColumn("n", F.size("items"))
+    pivots = sets.join(open_.select(F.col("pivot").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("pivot"), F.col("items").alias("pivot_items"))
+    apart = own.join(pivots, "pivot").select("doc_id", "component", "pivot", "n", F.size("pivot_items").alias("p"), F.concat(F.array_except("items", "pivot_items"), F.array_except("pivot_items", "items")).alias("items"))
+    apart = apart.withColumn("e", F.size("items")).withColumn("linked", 7 * F.col("e") <= F.col("n") + F.col("p"))
+    # the least number of shared differences with any document that isn't linked to the pivot, or of one that isn't
+    least = F.when(F.col("linked"), F.floor((7 * F.col("e") + F.col("p") - F.col("n")) / 14) + 1).otherwise(F.ceil((7 * F.col("e") - F.col("n") - F.col("p")) / 14))
+    # differences from two pivots are elements of two kinds
+    tagged = apart.withColumn("items", F.transform("items", lambda x: F.struct("pivot", x.alias("item"))))
+    edits = _rarest_first(tagged, ["doc_id", "component", "n", "e", "linked", "p"], "e", F.col("e") - F.greatest(F.lit(1), least) + 1)
+    met = _joined(edits, ["doc_id", "component", "n", "e", "linked", "at"], []).where("not (x_linked and y_linked)")
+    room = 1 + F.least(F.col("x_e") - F.col("x_at"), F.col("y_e") - F.col("y_at"))
+    near = met.where(14 * room >= 7 * (F.col("x_e") + F.col("y_e")) - (F.col("x_n") + F.col("y_n")))
+    # the same for shingles, where the pivots differ
+    places = F.col("n") - F.ceil(F.col("n") * SIMILARITY_PERCENT / 100).cast("int") + 1
+    prefixes = _rarest_first(own, ["doc_id", "component", "pivot", "n"], "n", places)
+    room = 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    far = _joined(prefixes, ["doc_id", "component", "pivot", "n", "at"], []).where("x_pivot <> y_pivot").where(175 * room >= SIMILARITY_PERCENT * (F.col("x_n") + F.col("y_n")))
+    both = [df.select(F.col("x_doc_id").alias("x"), F.col("y_doc_id").alias("y")) for df in (near, far)]
+    return both[0].unionByName(both[1]).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
