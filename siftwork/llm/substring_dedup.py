@@ -1,8 +1,8 @@
 """Substring dedup: seed and extend over winnowed anchors.
 
-A window is ``width`` consecutive words of one document. Of the 5-word grams in each window the
+A window is ``width`` consecutive words of one document. Of the 7-word grams in each window the
 one with the least hash is its anchor, so equal windows have equal anchors at equal places, and
-about one gram in eight is an anchor of some window.
+about one gram in seven is an anchor of some window.
 
 1. Seeds: anchors that occur twice or more, counted with map-side combination and joined back to
    their places on two exchanges that adaptive execution may split.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from siftwork.llm.bytescan import Runs, Texts, pieces, spread, window_starts
 from siftwork.llm.common import table, written
 
-WIDTH, GRAM = 20, 5
+WIDTH, GRAM = 20, 7
 
 _ANCHORS = "seed long, doc_id long, at int"
 _EXTENDED = "doc_id long, n_words long, kept_sha256 string, text string, seeds array<long>, at array<int>, lo array<int>, hi array<int>, run array<long>, windows array<binary>"
