@@ -21,7 +21,8 @@ Every link is confirmed on full sets. Nothing is capped.
 
 Defined results: null, blank and wordless texts have no shingles and link with nothing; a text of
 one to four words has its whole sequence as one shingle. doc_id is expected unique; of repeated
-rows with equal text each counts once for each distinct doc_id.
+rows with equal text each counts once for each distinct doc_id. Documents without doc_id are kept
+and link with nothing.
 """
 
 from __future__ import annotations
@@ -130,7 +131,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(signed sets: doc_id, n_shingles, first of the equal sets; verified links x, y between different sets)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     signed = written(docs.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, a array<long>, b array<long>"))
-    firsts = written(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first")))
+    firsts = written(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first")))
     distinct = signed.join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
     members = _members(distinct)
     centres = written(members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("neg"), "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", (-F.col("c.neg")).alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.weight").alias("centre_weight")))
@@ -141,7 +142,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = written(_verified(pairs, sets))
     rest = written(_rest(several, centres, connected_components(found, "x", "y"), sets))
     more = written(_verified(rest.join(pairs, ["x", "y"], "left_anti"), sets))
-    copies = signed.join(firsts, "digest", "left").select("doc_id", "n_shingles", "first")
+    copies = signed.join(firsts, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"))
     return copies, found.unionByName(more)
 
 
@@ -219,7 +220,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = connected_components(linked, "x", "y").select(F.col("id").alias("first"), "component")
     out = copies.join(groups, "first", "left")
     component = F.coalesce("component", "first", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,5 +229,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, the one with the least doc_id; all columns stay."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    gone = near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)

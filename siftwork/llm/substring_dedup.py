@@ -18,7 +18,7 @@ or run's. Whole copies of a text are settled by the digest of the text and aren'
 
 Defined results: null and blank texts have no words and nothing is removed; repeated rows of one
 doc_id count as one document each only if their texts differ, and the operator expects doc_id
-unique; windows never cross documents. A text shorter than the window is never changed.
+unique; documents without doc_id stay whole; windows never cross documents. A text shorter than the window is never changed.
 """
 
 from __future__ import annotations
@@ -66,12 +66,12 @@ def _find_anchors(width: int, gram: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                ids = part.column("doc_id")
                 words = Texts(part.column("text")).words()
                 grams, text, first, anchor = anchors_of(words, width, gram)
                 keep = np.flatnonzero(np.diff(anchor, prepend=-1) != 0)
                 at, of = anchor[keep], text[keep]
-                yield pa.record_batch({"seed": grams[at].view(np.int64), "doc_id": ids[of], "at": (at - words.first[of]).astype(np.int32)})
+                yield pa.record_batch({"seed": grams[at].view(np.int64), "doc_id": ids.take(pa.array(of)), "at": (at - words.first[of]).astype(np.int32)})
 
     return scan
 

@@ -490,6 +490,28 @@ def test_near_duplicates_around_a_base(spark, seed, edits):
     assert got == brute_near(data)
 
 
+# rows without ids
+
+
+def test_rows_without_ids(spark):
+    import corpus_pipeline
+    from siftwork.llm import byte_bpe, flac, licenses, line_dedup, mixing, near_dedup, quality, substring_dedup
+
+    text = "\n".join(" ".join(f"the-{i}-{j}" for j in range(20)) for i in range(5)) + " the end of it"
+    data = [(None, text, None, None, None), (1, text, None, "a", None), (2, text, "en", "a", 3), (None, None, None, None, None)]
+    df = spark.createDataFrame(data, SCHEMA)
+    path = byte_bpe.vocabulary_path()
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in substring_dedup.dedup(df).collect()) == [(0, 0), (0, 0), (1, 0), (2, 104)]
+    assert sorted((r["doc_id"] or 0, r["kept"]) for r in near_dedup.near_duplicates(df).collect()) == [(0, True), (0, True), (1, True), (2, False)]
+    for out in (byte_bpe.decode(byte_bpe.encode(df, path), path), flac.read_back(flac.store(df)), licenses.scan_licenses(df), line_dedup.dedup_lines(df), quality.score(df), mixing.mix(df)):
+        assert out.count() == 4
+    left = df
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, "")
+        assert left.columns == df.columns
+    assert left.where("doc_id is null").count() > 0
+
+
 # pipeline
 
 
