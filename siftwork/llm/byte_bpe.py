@@ -40,8 +40,11 @@ LETTER, NUMBER, OTHER, SPACE, END = range(5)
 #: White space as in Unicode's White_Space property.
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
+#: Bytes of text that are encoded at once: bounds a worker's memory, of which a task has two here.
+PIECE_BYTES = 400_000
+
 #: Pieces of text are kept with their ids up to this number in a worker, then forgotten.
-_KEPT_PIECES = 1_000_000
+_KEPT_PIECES = 500_000
 
 
 def vocabulary_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
@@ -75,23 +78,18 @@ class Vocabulary:
     """The library's model for a rank file, its tokens' bytes by id, and pieces encoded so far."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
-        from tokenizers import models
-
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        table_ = byte_characters()
-        named = {token: token.decode("latin-1").translate(table_) for token in ranks}
-        merges = [(named[t[:i]], named[t[i:]]) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.model = models.BPE(vocab={named[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True)
-        self.by_byte = table_
+        self.by_byte = byte_characters()
         size = max(ranks.values()) + 1
         tokens = [b""] * size
         for token, rank in ranks.items():
             tokens[rank] = token
         self.tokens = np.frombuffer(b"".join(tokens), np.uint8)
-        self.token_ends = np.cumsum([len(t) for t in tokens])
-        self.token_starts = self.token_ends - np.array([len(t) for t in tokens])
+        lengths = np.array([len(t) for t in tokens])
+        self.token_ends = np.cumsum(lengths)
+        self.token_starts = self.token_ends - lengths
+        self._model = None
         self._forget()
 
     def _forget(self) -> None:
@@ -99,6 +97,19 @@ class Vocabulary:
         self.starts = self.ends = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
+    @property
+    def model(self):
+        """The library's model; decoding never builds it."""
+        if self._model is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core for each task
+            from tokenizers import models
+
+            tokens = [self.tokens[a:b].tobytes() for a, b in zip(self.token_starts, self.token_ends, strict=True)]
+            named = {token: token.decode("latin-1").translate(self.by_byte) for token in tokens if token}
+            merges = [(named[t[:i]], named[t[i:]]) for t in tokens for i in range(1, len(t)) if t[:i] in named and t[i:] in named]
+            self._model = models.BPE(vocab={named[t]: r for r, t in enumerate(tokens) if t}, merges=merges, ignore_merges=True)
+        return self._model
+
     def ids(self, piece: bytes) -> list[int]:
         return [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(self.by_byte))]
 
@@ -218,7 +229,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", offsets: bool = False
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            for part in pieces(batch, text):
+            for part in pieces(batch, text, PIECE_BYTES):
                 ids, bounds, texts = encode_texts(part.column(text), vocab)
                 _, stop = vocab.bytes_of(ids)
                 size = texts.ends - texts.starts
@@ -250,8 +261,8 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
                 column = part.column(ids)
                 flat = column.flatten().to_numpy(zero_copy_only=False)
                 flat = np.where((flat >= 0) & (flat < len(vocab.token_ends)), flat, 0) if len(flat) and (flat.min() < 0 or flat.max() >= len(vocab.token_ends)) else flat
