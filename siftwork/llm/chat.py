@@ -25,7 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwork.llm.byte_bpe import vocabulary, vocabulary_path
@@ -77,13 +77,14 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tokenize(path_: str, learned: str):
-    """Tokens and loss spans of each node, and its offset within its part of the order."""
+    """Tokens and loss spans of each node, its offset within its part of the order, the spans of its ancestors there and how many lie before."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
         import regex
 
         vocab, split, ids_of, at = vocabulary(path_), regex.compile(public_tokenizers.PATTERN), {}, 0
+        above: list[tuple[bytes, int, int]] = []  # the ancestors of the row that lie in this part: path, begin, end
 
         def ids(text: str) -> list[int]:
             out: list[int] = []
@@ -96,16 +97,22 @@ def _tokenize(path_: str, learned: str):
             return out
 
         for batch in batches:
-            tokens, begin, end, start = [], [], [], []
-            for role, text in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            tokens, begin, end, start, outside, inside = [], [], [], [], [], []
+            for place, depth, role, text in zip(*(batch.column(c).to_pylist() for c in ("path", "depth", "role", "text")), strict=True):
                 head, body, tail = ids(f"{OPEN}{escape(role, True)}: "), ids(escape(text)), ids(f"{CLOSE}\n")
                 tokens.append(head + body + tail)
                 begin.append(len(head))
                 end.append(len(head) + len(body) if role == learned else len(head))
                 start.append(at)
+                while above and not place.startswith(above[-1][0]):
+                    above.pop()
+                outside.append(depth - len(above))
+                above.append((place, at, at + len(tokens[-1])))
+                inside.append([{"begin": a, "end": b} for _, a, b in above])
                 at += len(tokens[-1])
             keep = [c for c in batch.schema.names if c not in ("role", "text")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(tokens, pa.list_(pa.int32())), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(start, pa.int64())], names=[*keep, "tokens", "loss_begin", "loss_end", "start"])
+            span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(tokens, pa.list_(pa.int32())), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(start, pa.int64()), pa.array(outside, pa.int32()), pa.array(inside, span)], names=[*keep, "tokens", "loss_begin", "loss_end", "start", "outside", "inside"])
 
     return scan
 
@@ -130,15 +137,22 @@ def prefix_tree(each_turn: DataFrame, vocabulary_file: str, learned: str = "assi
     # the same number of parts as a shuffle, dealt by path: siblings under a hot beginning spread over parts
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = written(nodes).repartitionByRange(parts, "path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id())
-    emitted = written(ordered.select("node", "parent", "depth", "path", "part", "role", "text").mapInArrow(_tokenize(vocabulary_file, learned), "node binary, parent binary, depth int, path binary, part int, tokens array<int>, loss_begin int, loss_end int, start long"))
+    kind = "node binary, parent binary, depth int, path binary, part int, tokens array<int>, loss_begin int, loss_end int, start long, outside int, inside array<struct<begin:long,end:long>>"
+    emitted = written(ordered.select("node", "parent", "depth", "path", "part", "role", "text").mapInArrow(_tokenize(vocabulary_file, learned), kind))
     sizes = emitted.groupBy("part").agg(F.sum(F.size("tokens")).alias("n"))  # one row for each part
-    running = sizes.alias("p").join(sizes.alias("q"), F.col("q.part") < F.col("p.part"), "left").groupBy(F.col("p.part").alias("part")).agg(F.coalesce(F.sum("q.n"), F.lit(0)).alias("base"))
-    placed = written(emitted.join(F.broadcast(running), "part").withColumn("start", F.col("start") + F.col("base")).withColumn("n_tokens", F.size("tokens")).drop("part", "base"))
-    ancestors = placed.select(F.col("node").alias("of"), F.explode(F.transform(F.sequence(F.lit(0), F.col("depth")), lambda d: F.expr("path").substr(d * 16 + 1, F.lit(16)))).alias("node"))
-    spans = ancestors.join(placed.select("node", "depth", "start", "n_tokens"), "node").groupBy(F.col("of").alias("node")).agg(F.sort_array(F.collect_list(F.struct("depth", F.col("start").alias("begin"), (F.col("start") + F.col("n_tokens")).alias("end")))).alias("s"))
-    lengths = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["begin"])
-    shaped = spans.select("node", F.transform("s", lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"))).alias("intervals"), lengths.alias("upto"))
-    return placed.join(shaped, "node").select("node", "parent", "depth", "start", "n_tokens", "tokens", "loss_begin", "loss_end", (F.col("upto") - F.col("n_tokens")).alias("position"), "intervals")
+    running = written(sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base")))
+    # ancestors before a part are ancestors of its first row: as many rows as parts, times their depth
+    firsts = emitted.where("start = 0 and outside > 0").select(F.col("part").alias("of"), F.explode(F.transform(F.sequence(F.lit(1), F.col("outside")), lambda d: F.expr("path").substr((d - 1) * 16 + 1, F.lit(16)))).alias("node"))
+    held = emitted.select("node", "part", "depth", "start", F.size("tokens").alias("n")).join(F.broadcast(firsts), "node").join(F.broadcast(running), "part")
+    begin = F.col("start") + F.col("base")
+    before = held.groupBy(F.col("of").alias("part")).agg(F.sort_array(F.collect_list(F.struct("depth", begin.alias("begin"), (begin + F.col("n")).alias("end")))).alias("s"))
+    chains = before.select("part", F.transform("s", lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"))).alias("chain"))
+    placed = emitted.join(F.broadcast(running), "part").join(F.broadcast(chains), "part", "left")
+    here = F.transform("inside", lambda x: F.struct((x["begin"] + F.col("base")).alias("begin"), (x["end"] + F.col("base")).alias("end")))
+    intervals = F.when(F.col("outside") > 0, F.concat(F.slice("chain", 1, F.col("outside")), here)).otherwise(here)
+    length = F.aggregate("intervals", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["begin"])
+    done = placed.withColumn("n_tokens", F.size("tokens")).withColumn("intervals", intervals)
+    return done.select("node", "parent", "depth", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "tokens", "loss_begin", "loss_end", (length - F.col("n_tokens")).alias("position"), "intervals")
 
 
 def _read(path_: str):
