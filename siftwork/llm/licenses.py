@@ -2,16 +2,17 @@
 
 Templates are license notices, each with phrases that must stand in a match. Their words form a
 small vocabulary with postings (template, position). One pass over all documents counts in how many
-each vocabulary word occurs; a second looks up, in each document, the vocabulary words of highest
-inverse document frequency that it has, intersects their postings by relative position (place in
-the document less place in the template), and scores the alignment with most votes for each
-template by the share of the template's words that stand where it has them. A label needs a share
-of ``LEAST_SHARE`` and all its key phrases inside the aligned stretch.
+each vocabulary word occurs. A label needs an alignment (place in the document less place in the
+template) at which a share of ``LEAST_SHARE`` of the template's words stand where it has them, with
+all its key phrases inside the aligned stretch. A template of n words that needs k of them misses
+n - k at most, so its n - k + 1 places of highest inverse document frequency hold one that stands in
+every such alignment: a second pass looks up those, for each template its own, and scores every
+alignment that they give in the documents that hold the template's phrases. No alignment is lost.
 
 Phrases that name a license (``BASE``) are found everywhere, independently of the templates.
 
-Defined results: a null or empty text has no words, no labels and score 0; ties between alignments
-go to the earliest place; repeated rows get equal results; only the vocabulary's counts, bounded by
+Defined results: a null or empty text has no words, no labels and score 0; the score is the greatest
+share of any match; repeated rows get equal results; only the vocabulary's counts, bounded by
 the number of template words, reach the driver.
 """
 
@@ -26,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm.bytescan import Texts, Words, pieces, spread
+from siftwork.llm.bytescan import Texts, Words, pieces
 from siftwork.llm.common import table
 
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-LEAST_SHARE, RARE_WORDS = 0.6, 8
+LEAST_SHARE = 0.6
 
 
 class Template(NamedTuple):
@@ -62,19 +63,24 @@ _GAP[0x30:0x3A] = _GAP[0x41:0x5B] = _GAP[0x61:0x7B] = _GAP[0x80:] = False
 
 
 class Index:
-    """Vocabulary by hash, postings by word, and phrases as lists of word hashes."""
+    """Vocabulary by hash, templates and phrases as lists of word numbers in it, and the words that each template needs."""
 
     def __init__(self, templates: tuple[Template, ...], base: tuple[tuple[str, str], ...]):
-        self.templates, self.base = templates, base
+        self.templates = templates
         hashed = lambda text: Texts(pa.array([text]), lower=True).words(_GAP).hashes()
-        self.words = [hashed(t.text) for t in templates]
-        self.phrases = [[hashed(p) for p in t.phrases] for t in templates]
-        self.base_phrases = [(hashed(p), label) for p, label in base]
-        self.vocabulary = np.unique(np.concatenate([*self.words, *(p for p, _ in self.base_phrases)]))
-        posts = sorted((int(np.searchsorted(self.vocabulary, h)), t, i) for t, w in enumerate(self.words) for i, h in enumerate(w))
-        self.posts = np.array(posts, np.int64).reshape(-1, 3)
-        self.post_ends = np.searchsorted(self.posts[:, 0], np.arange(len(self.vocabulary)), "right")
-        self.post_starts = np.searchsorted(self.posts[:, 0], np.arange(len(self.vocabulary)))
+        words = [hashed(t.text) for t in templates]
+        phrases = [[h for h in map(hashed, t.phrases) if len(h)] for t in templates]
+        base_phrases = [(hashed(p), label) for p, label in base]
+        self.vocabulary = np.unique(np.concatenate([*words, *(p for of in phrases for p in of), *(p for p, _ in base_phrases)]))
+        number = lambda h: np.searchsorted(self.vocabulary, h)
+        self.words = [number(w) for w in words]
+        self.phrases = [[tuple(number(p).tolist()) for p in of] for of in phrases]
+        self.base_phrases = [(tuple(number(p).tolist()), label) for p, label in base_phrases]
+        self.need = [next(k for k in range(len(w) + 1) if k >= len(w) or k / len(w) >= LEAST_SHARE) for w in words]
+
+    def rare_places(self, rarity: np.ndarray) -> list[np.ndarray]:
+        """For each template, its rarest places: one more than a match may miss."""
+        return [np.argsort(-rarity[w], kind="stable")[: len(w) - k + 1] for w, k in zip(self.words, self.need, strict=True)]
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the words that are in the vocabulary, their numbers there)."""
@@ -83,14 +89,6 @@ class Index:
         return found, at[found]
 
 
-def _stands(hashes: np.ndarray, phrase: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Those of ``starts`` where the phrase stands."""
-    starts = starts[starts + len(phrase) <= len(hashes)]
-    for i, h in enumerate(phrase):
-        starts = starts[hashes[starts + i] == h]
-    return starts
-
-
 def _counts(index: Index):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, docs = np.zeros(len(index.vocabulary), np.int64), 0
@@ -113,65 +111,87 @@ def document_frequencies(docs: DataFrame, index: Index, text: str = "text") -> n
     return np.array([math.log((1 + n.get(-1, 0)) / (1 + n.get(i, 0))) for i in range(len(index.vocabulary))])
 
 
-def _aligned(index: Index, rarity: np.ndarray, hashes: np.ndarray, at: np.ndarray, known: np.ndarray) -> list[tuple[int, int, float]]:
-    """(template, offset, share) of the alignment with most votes for each template that gets any."""
-    present = np.unique(known)
-    rare = present[np.argsort(-rarity[present], kind="stable")][:RARE_WORDS]
-    mine = np.isin(known, rare)
-    at, known = at[mine], known[mine]
-    post, of = spread(index.post_starts[known], index.post_ends[known])
-    template, offset = index.posts[post, 1], at[of] - index.posts[post, 2]
-    places, votes = np.unique(np.stack([template, offset], 1), axis=0, return_counts=True)
-    out = []
-    for t in np.unique(places[:, 0]):
-        rows = np.flatnonzero(places[:, 0] == t)
-        best = np.flatnonzero(votes[rows] == votes[rows].max())
-        words, share, where = index.words[t], -1.0, 0
-        for start in places[rows[best], 1].tolist():
-            lo, hi = max(start, 0), min(start + len(words), len(hashes))
-            got = float((hashes[lo:hi] == words[lo - start : hi - start]).sum()) / len(words)
-            if got > share:
-                share, where = got, start
-            if share == 1.0:
-                break
-        out.append((int(t), where, share))
-    return out
+class Places:
+    """Where the vocabulary's words stand in the documents of a batch, whose words are numbered end to end."""
+
+    def __init__(self, index: Index, words: Words):
+        at, known = index.hits(words.hashes())
+        self.first, self.n = words.first, words.texts.n
+        self.known = np.full(int(words.first[-1]) + 1, -1)  # the last is no word's
+        self.known[at] = known
+        by_word = np.argsort(known, kind="stable")
+        self.at, self.ends = at[by_word], np.cumsum(np.bincount(known, minlength=len(index.vocabulary)))
+
+    def of(self, word: int) -> np.ndarray:
+        return self.at[self.ends[word - 1] if word else 0 : self.ends[word]]
+
+    def owner(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.first, at, "right") - 1
+
+    def phrase(self, words: tuple[int, ...]) -> np.ndarray:
+        """Ascending starts of a phrase within documents."""
+        starts = self.of(words[0])
+        starts = starts[starts + len(words) <= self.first[-1]]
+        for i, word in enumerate(words[1:], 1):
+            starts = starts[self.known[starts + i] == word]
+        return starts[self.owner(starts) == self.owner(starts + len(words) - 1)]
+
+
+def _matches(places: Places, words: np.ndarray, need: int, rare: np.ndarray, phrases: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(documents, shares) of all matches of a template; ``phrases``: length and starts of each."""
+    holds = np.ones(places.n, bool)
+    for _, starts in phrases:
+        holds &= np.bincount(places.owner(starts), minlength=places.n) > 0
+    keys, width = [], int(places.first[-1]) + len(words)
+    for i in rare.tolist() if holds.any() else ():
+        at = places.of(words[i])
+        owner = places.owner(at)
+        keys.append((owner * width + at - i + len(words))[holds[owner]])
+    key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+    # a start before its text's first word is at most len(words) - 1 before it
+    owner, start = key // width, key % width - len(words)
+    lo, hi = places.first[owner], places.first[owner + 1]
+    got = np.zeros(len(key), np.int64)
+    for i, word in enumerate(words.tolist()):
+        at = start + i
+        got += (at >= lo) & (at < hi) & (places.known[np.clip(at, 0, len(places.known) - 1)] == word)
+    lo, hi, found = np.maximum(start, lo), np.minimum(start + len(words), hi), got >= need
+    for size, starts in phrases if len(key) else ():
+        nearest = np.searchsorted(starts, lo)
+        found &= (nearest < len(starts)) & (starts[np.minimum(nearest, len(starts) - 1)] + size <= hi)
+    return owner[found], got[found] / max(len(words), 1)
 
 
 def _scan(index: Index, rarity: np.ndarray):
-    def one(hashes: np.ndarray, at: np.ndarray, known: np.ndarray):
-        n, first, last, base = 0, None, None, set()
-        for phrase, label in index.base_phrases:
-            head = at[index.vocabulary[known] == phrase[0]]
-            starts = _stands(hashes, phrase, head) if len(head) else head
-            if len(starts):
-                n += len(starts)
-                first = int(starts[0]) if first is None else min(first, int(starts[0]))
-                last = int(starts[-1]) if last is None else max(last, int(starts[-1]))
-                base.add(label)
-        labels, score = set(base), 0.0
-        for t, start, share in _aligned(index, rarity, hashes, at, known):
-            lo, hi = max(start, 0), min(start + len(index.words[t]), len(hashes))
-            if share >= LEAST_SHARE and all(len(_stands(hashes[lo:hi], p, np.arange(hi - lo))) for p in index.phrases[t]):
-                labels.add(index.templates[t].label)
-                score = max(score, share)
-        score = max(score, 1.0 if base else 0.0)
-        return n, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score
+    rare = index.rare_places(rarity)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 words: Words = Texts(part.column("text"), lower=True).words(_GAP)
-                hashes = words.hashes()
-                at, known = index.hits(hashes)
-                bounds = np.searchsorted(at, words.first)
-                rows = []
-                for t in range(words.texts.n):
-                    a, b = bounds[t], bounds[t + 1]
-                    lo, hi = words.first[t], words.first[t + 1]
-                    rows.append(one(hashes[lo:hi], at[a:b] - lo, known[a:b]) if b > a else (0, None, None, "", "", 0.0))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.count, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=_COLUMNS)
+                places = Places(index, words)
+                starts = {p: places.phrase(p) for p in {*(p for of in index.phrases for p in of), *(p for p, _ in index.base_phrases)}}
+                n, score = np.zeros(places.n, np.int64), np.zeros(places.n)
+                first, last = np.full(places.n, len(places.known)), np.full(places.n, -1)
+                base: list[set[str]] = [set() for _ in range(places.n)]
+                for phrase, label in index.base_phrases:
+                    owner = places.owner(starts[phrase])
+                    within = starts[phrase] - places.first[owner]
+                    np.add.at(n, owner, 1)
+                    np.minimum.at(first, owner, within)
+                    np.maximum.at(last, owner, within)
+                    score[owner] = 1.0
+                    for t in np.unique(owner).tolist():
+                        base[t].add(label)
+                labels = [set(b) for b in base]
+                for t, template in enumerate(index.templates):
+                    owner, share = _matches(places, index.words[t], index.need[t], rare[t], [(len(p), starts[p]) for p in index.phrases[t]])
+                    np.maximum.at(score, owner, share)
+                    for d in np.unique(owner).tolist():
+                        labels[d].add(template.label)
+                joined = lambda sets: pa.array([",".join(sorted(s)) for s in sets], pa.string())
+                place = lambda at: pa.array(at, pa.int64(), mask=n == 0)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words.count, pa.int64()), pa.array(n), place(first), place(last), joined(base), joined(labels), pa.array(score)], names=_COLUMNS)
 
     return scan
 

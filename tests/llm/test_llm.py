@@ -302,6 +302,44 @@ def test_licenses(spark, none):
     assert op.scan_licenses(none).count() == 0
 
 
+def test_licenses_in_one_text(spark):
+    """Every notice of a text with many, whole or with words changed, against all alignments of all templates."""
+    from siftwork.llm import licenses as op
+
+    notice = {label: [t.text for t in op.TEMPLATES if t.label == label] for label in {t.label for t in op.TEMPLATES}}
+    short = notice["cc-by-nc"][0]
+    texts = [f"{notice[long][-1]}. then {short}" for long in ("bsd", "isc", "mit", "apache", "mpl")]
+    texts += [f"{short} x {notice['isc'][0]} y {notice['unlicense'][0]} z {notice['bsd'][0]}", "\n".join(t.text for t in op.TEMPLATES)]
+    r = random.Random(5)
+    for _ in range(120):
+        parts = []
+        for t in r.sample(op.TEMPLATES, r.randint(1, 5)):
+            w = t.text.split()
+            parts += ["so"] * r.randint(0, 3) + [x if r.random() > r.choice((0, 0.2, 0.45)) else r.choice(("so", "license")) for x in w[r.randint(0, 2) :]]
+        texts.append(" ".join(parts))
+
+    def holds(part, phrase):
+        return any(part[k : k + len(phrase)] == phrase for k in range(len(part)))
+
+    def brute(w):
+        labels = {label for p, label in op.BASE if holds(w, p.split())}
+        score = 1.0 if labels else 0.0
+        for t in op.TEMPLATES:
+            v = t.text.split()
+            for start in range(1 - len(v), len(w)):
+                share = sum(0 <= start + i < len(w) and w[start + i] == x for i, x in enumerate(v)) / len(v)
+                if share >= op.LEAST_SHARE and all(holds(w[max(start, 0) : start + len(v)], p.split()) for p in t.phrases):
+                    labels.add(t.label)
+                    score = max(score, share)
+        return ",".join(sorted(labels)), score
+
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = keyed(op.scan_licenses(df), "labels", "score")
+    assert "cc-by-nc" in got[0][0] and got[6][0] == ",".join(sorted(notice))
+    for i, t in enumerate(texts):
+        assert got[i] == brute(t.replace(".", "").split())
+
+
 # 6 chat
 
 
