@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -95,12 +97,23 @@ def resolve_names(wanted: DataFrame, files: DataFrame, key: str, name: str = "na
     return found.withColumn(name, ambiguous).drop("__n", "__f", "__near", "__k", "__key")
 
 
+#: First bytes, in hex, of the formats of ``IMAGE_SUFFIXES``: PNG, JPEG, GIF, BMP, TIFF and BigTIFF, WebP.
+SIGNATURES = r"^(?:89504E470D0A1A0A|FFD8FF|474946383[79]61|424D|49492[AB]00|4D4D002[AB]|52494646.{8}57454250)"
+
+
 def image_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path (relative, ``/`` between parts), suffix, length of all image files under a folder; suffixes without regard to case."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
+    """path (relative, ``/`` between parts), suffix, length, content_checksum of all image files under a folder; suffixes without regard to case.
+
+    The checksum is the SHA-256 of the file's bytes, null for a file that is empty or doesn't begin as an image of any known format.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    listed = spark.createDataFrame([(unquote(re.sub("^([^:/]+:)//(?=/)", r"\1", f)),) for f in files.inputFiles()], "path string")
+    empty = listed.join(files.select("path"), "path", "left_anti")  # the scan skips files without bytes, the listing doesn't
+    rows = files.select("path", "length", "content").unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
     relative = F.regexp_replace("path", "^.*?" + folder.strip("/").replace(".", r"\.") + "/", "")
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return rows.select(relative.alias("path"), suffix.alias("suffix"), "length").where(F.col("suffix").isin(*IMAGE_SUFFIXES))
+    checksum = F.when(F.hex(F.substring("content", 1, 12)).rlike(SIGNATURES), F.sha2("content", 256))
+    return rows.select(relative.alias("path"), suffix.alias("suffix"), "length", checksum.alias("content_checksum")).where(F.col("suffix").isin(*IMAGE_SUFFIXES))
 
 
 def _tree(spark: SparkSession, root: str, label: Column, family: Column, dataset_name: str) -> DataFrame:
@@ -111,7 +124,7 @@ def _tree(spark: SparkSession, root: str, label: Column, family: Column, dataset
     identity = F.regexp_replace("path", r"\.[^./]+$", "")
     return canonical(rows.select(
         F.concat(F.lit(f"{dataset_name}:"), identity).alias("sample_id"), "path", "label", F.lit(dataset_name).alias("dataset_name"), F.lit("local").alias("dataset_version"), F.col("family").alias("generator_family"),
-        identity.alias("source_group_id"), identity.alias("original_image_id"), F.col("suffix").alias("file_format"), F.lit("unknown").alias("licence_identifier"),
+        identity.alias("source_group_id"), identity.alias("original_image_id"), F.col("suffix").alias("file_format"), F.lit("unknown").alias("licence_identifier"), "content_checksum",
     ))
 
 
@@ -137,18 +150,22 @@ def pair_list(csv_path: str, folder: str, dataset_name: str, family: str = "synt
         checks.enforce(pairs.where(missing(F.col("real")) | missing(F.col("fake"))).select("real", "fake"), what="pairs with a blank name")
         sides = pairs.select("real", "fake", F.explode(F.array(F.struct(F.lit(0).alias("label"), F.col("real").alias("wanted")), F.struct(F.lit(1).alias("label"), F.col("fake").alias("wanted")))).alias("s")).select("real", "s.*")
         checks.enforce(checks.repeated_keys(sides, "wanted").select("wanted"), what="files in two pairs")
-        found = resolve_names(sides, image_files(spark, folder).select(F.col("path").alias("name")), "wanted")
+        files = image_files(spark, folder).select(F.col("path").alias("name"), "content_checksum")
+        found = resolve_names(sides, files, "wanted").join(files, "name", "left")
         checks.enforce(found.where("name is null").select("wanted"), what="files that aren't there")
         return canonical(found.select(
             F.concat(F.lit(f"{dataset_name}:"), F.col("name")).alias("sample_id"), F.col("name").alias("path"), "label", F.lit(dataset_name).alias("dataset_name"), F.lit("local").alias("dataset_version"), F.when(F.col("label") == 0, "authentic").otherwise(F.lit(family)).alias("generator_family"),
-            F.concat(F.lit(f"{dataset_name}:"), F.col("real")).alias("source_group_id"), F.col("name").alias("original_image_id"), F.lower(F.regexp_extract("name", r"\.([^./]+)$", 1)).alias("file_format"), F.lit("unknown").alias("licence_identifier"),
+            F.concat(F.lit(f"{dataset_name}:"), F.col("real")).alias("source_group_id"), F.col("name").alias("original_image_id"), F.lower(F.regexp_extract("name", r"\.([^./]+)$", 1)).alias("file_format"), F.lit("unknown").alias("licence_identifier"), "content_checksum",
         ))
 
     return scan
 
 
 def build_manifest(spark: SparkSession, sources: list[Source], most_corrupt: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """(valid rows of all sources, violations of the others); raises if the others' share exceeds the limit."""
+    """(valid rows of all sources, violations of the others); raises if the others' share exceeds the limit.
+
+    A null checksum is that of a file that isn't an image, and a violation; an empty one is of a source without files to read.
+    """
     rows = reduce(DataFrame.unionByName, (s(spark) for s in sources))
     violations = checks.manifest_violations(rows.withColumn("width", F.coalesce("width", F.lit(1))).withColumn("height", F.coalesce("height", F.lit(1))).withColumn("content_checksum", F.when(F.col("content_checksum") == "", F.lit("0" * 64)).otherwise(F.col("content_checksum"))).withColumn("perceptual_hash", F.when(F.col("perceptual_hash") == "", F.lit("0" * 16)).otherwise(F.col("perceptual_hash"))))
     bad = violations.select("sample_id").distinct()

@@ -1,3 +1,4 @@
+import hashlib
 import json
 import os
 
@@ -40,6 +41,29 @@ def test_pair_list(spark, tmp_path):
         readers.pair_list(f"{tmp_path}/bad.csv", f"{tmp_path}/p", "pairs")(spark)
 
 
+def test_files_are_read(spark, tmp_path):
+    from siftwork.operators import groups
+
+    png, jpeg, webp = b"\x89PNG\r\n\x1a\n" + b"1" * 40, b"\xff\xd8\xff\xe0" + b"2" * 40, b"RIFF\x0a\x0a\x0a\x0aWEBP" + b"3"
+    data = {"real/a.png": png, "fake/flux/copy.png": png, "real/b.jpg": jpeg, "fake/flux/w é%20 1.webp": webp, "fake/flux/empty.png": b"", "real/text.png": b"not an image"}
+    for name, content in data.items():
+        touch(tmp_path, f"t/{name}")
+        with open(f"{tmp_path}/t/{name}", "wb") as f:
+            f.write(content)
+    with open(f"{tmp_path}/pairs.csv", "w") as f:
+        f.write("fake,real\nfake/flux/copy.png,real/a.png\nfake/flux/empty.png,real/text.png\n")
+    tree, pairs = readers.nested_tree(f"{tmp_path}/t", "wild"), readers.pair_list(f"{tmp_path}/pairs.csv", f"{tmp_path}/t", "pairs")
+    for source, bad in ((tree, {"wild:fake/flux/empty", "wild:real/text"}), (pairs, {"pairs:fake/flux/empty.png", "pairs:real/text.png"})):
+        valid, violations = readers.build_manifest(spark, [source], most_corrupt=0.5)
+        assert {tuple(r) for r in violations.collect()} == {(i, "content_checksum") for i in bad}
+        assert all(r["content_checksum"] == hashlib.sha256(data[r["path"]]).hexdigest() for r in valid.collect())
+        with pytest.raises(DataIntegrityError, match="corrupt"):
+            readers.build_manifest(spark, [source])
+    grouped = groups.split_groups(readers.build_manifest(spark, [tree], most_corrupt=0.5)[0])
+    group = {r["path"]: r["split_group_id"] for r in grouped.collect()}
+    assert len(group) == 4 and len(set(group.values())) == 3 and group["real/a.png"] == group["fake/flux/copy.png"]
+
+
 def test_labelled_rows_and_manifest(spark, tmp_path):
     rows = spark.createDataFrame([(str(i), i % 3) for i in range(30)], "img_id string, label int")
     made = readers.labelled_rows(rows, "set")
