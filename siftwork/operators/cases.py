@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwork.functions.exprs import correct_margin
+from siftwork.functions.exprs import correct_margin, stable_seed_value
 from siftwork.operators.metrics import with_clean_score
 
 
@@ -39,6 +42,30 @@ def hardest_condition(scored: DataFrame, order: str = "condition_id") -> DataFra
     return least.select("sample_id", "m.condition_id", "m.transform_family", "m.margin")
 
 
+def mined_condition(candidates: DataFrame, epoch: int, seed: int, exploration: float = 0.20) -> DataFrame:
+    """sample_id, condition_id, transform_family, margin, explored: the candidate of least correct margin, the first by ``ordinal`` where two are equal;
+    with probability ``exploration``, by the sample's own seed, a random candidate in its place.
+
+    ``candidates``: sample_id, ordinal, condition_id, transform_family, label, logit.
+    """
+    if not 0 <= exploration <= 1:
+        raise ValueError("exploration must be from 0 to 1")
+
+    def explore(ids: pd.Series, sizes: pd.Series) -> pd.Series:
+        def one(k: str, n: int) -> int:
+            rng = random.Random(stable_seed_value(seed, epoch, k, "explore"))
+            return rng.randrange(n) if rng.random() < exploration else -1
+
+        return pd.Series([one(k, n) for k, n in zip(ids, sizes, strict=True)], dtype="int32")
+
+    margin = correct_margin(F.col("logit"), F.col("label")).alias("margin")
+    each = candidates.groupBy("sample_id").agg(F.sort_array(F.collect_list(F.struct("ordinal", "condition_id", "transform_family", margin))).alias("c"))
+    drawn = each.withColumn("draw", F.pandas_udf(explore, "int")("sample_id", F.size("c")))
+    least = F.array_min(F.transform("c", lambda x, i: F.struct(x["margin"].alias("margin"), i.alias("i"))))["i"]
+    chosen = drawn.withColumn("m", F.get("c", F.when(F.col("draw") < 0, least).otherwise(F.col("draw"))))
+    return chosen.select("sample_id", "m.condition_id", "m.transform_family", "m.margin", (F.col("draw") >= 0).alias("explored"))
+
+
 def family_proportions(selected: DataFrame, warn_above: float = 0.6) -> DataFrame:
     """transform_family, n, share, dominates."""
     each = selected.groupBy("transform_family").agg(F.count("*").alias("n"))

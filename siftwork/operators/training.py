@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwork.functions.exprs import bce, finite, sigmoid
-from siftwork.operators.cases import hardest_condition
+from siftwork.operators import checks
+from siftwork.operators.calibrate import survival_loss
+from siftwork.operators.cases import hardest_condition, mined_condition
+from siftwork.operators.images import picked_conditions
 from siftwork.sources.registry import stress_conditions
 
 
@@ -37,8 +40,38 @@ def median_latency(timings: DataFrame, warmup: int = 0) -> DataFrame:
     return timings.where(F.col("run") >= warmup).agg(F.median("ms").alias("median_ms"), F.count("*").alias("n"))
 
 
-def hard_mined_loss(candidates: DataFrame, clean: DataFrame, logit_weight: float = 0.25) -> DataFrame:
-    """One row: the loss over each sample's hardest candidate and its clean view.
+def mined_conditions(scored: DataFrame, samples: DataFrame, epoch: int, seed: int, count: int = 3, exploration: float = 0.20) -> DataFrame:
+    """``cases.mined_condition`` over ``count`` sampled candidates of each sample; a candidate without one score is an error.
+
+    ``scored``: sample_id, label, condition_id, transform_family, logit of all conditions that may be sampled.
+    """
+    if count < 2:
+        raise ValueError("mining needs two candidates or more")
+    picked = picked_conditions(samples, epoch, seed, count)
+    found = picked.join(scored.select("sample_id", "condition_id", "transform_family", "label", "logit"), ["sample_id", "condition_id"], "left")
+    unscored = found.groupBy("sample_id", "condition_id").agg(F.count("logit").alias("n")).where("n <> 1")
+    checks.enforce(unscored, what="candidates without exactly one score")
+    return mined_condition(found, epoch, seed, exploration)
+
+
+def hard_mined_loss(scored: DataFrame, clean: DataFrame, epoch: int, seed: int, count: int = 3, exploration: float = 0.20, logit_weight: float = 0.25, feature_weight: float = 0.10) -> DataFrame:
+    """One row: the survival loss over each sample's mined candidate and its clean view.
+
+    ``scored`` as in ``mined_conditions``; ``clean``: sample_id, logit. Both with features, an array of
+    doubles; tables without them need ``feature_weight`` 0.
+    """
+    have = "features" in scored.columns and "features" in clean.columns
+    if feature_weight and not have:
+        raise ValueError("feature consistency needs features, or a weight of 0")
+    features = (lambda: F.col("features")) if have else (lambda: F.array(F.lit(1.0)))
+    mined = mined_conditions(scored, clean, epoch, seed, count, exploration).select("sample_id", "condition_id")
+    chosen = scored.join(mined, ["sample_id", "condition_id"]).select("sample_id", "label", F.col("logit").alias("transformed_logit"), features().alias("transformed_features"))
+    pairs = chosen.join(clean.select("sample_id", F.col("logit").alias("clean_logit"), features().alias("clean_features")), "sample_id")
+    return survival_loss(pairs, logit_weight, feature_weight)
+
+
+def hardest_loss(candidates: DataFrame, clean: DataFrame, logit_weight: float = 0.25) -> DataFrame:
+    """One row: the loss over each sample's hardest candidate and its clean view, without sampling, exploration or features.
 
     ``candidates``: sample_id, label, condition_id, transform_family, logit; ``clean``: sample_id, logit.
     """

@@ -226,5 +226,5 @@ SELECT count(*) AS n, round(avg({_BCE.format(z='zc')}), 8) AS clean_loss, round(
   round(avg({_BCE.format(z='zc')}) + avg({_BCE.format(z='zt')}) + 0.25 * avg((zc - zt) ** 2), 8) AS total FROM p""")
 def hard_mined_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scores(spark, sf_dir)
-    loss = training.hard_mined_loss(rows.where("condition_id <> 'clean'"), rows.where("condition_id = 'clean'"))
+    loss = training.hardest_loss(rows.where("condition_id <> 'clean'"), rows.where("condition_id = 'clean'"))
     return loss.withColumns({c: F.round(c, 8) for c in loss.columns if c != "n"})

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siftwork.errors import DataIntegrityError
 from siftwork.operators import calibrate, cases, images, metrics
 
 SCORES = {
@@ -153,3 +154,43 @@ def test_picked_conditions(spark):
     assert len(families) == 6 and all(abs(n / 3000 - 1 / 6) < 0.03 for n in families.values())
     many = images.picked_conditions(ids.limit(50), 1, 2, count=3)
     assert many.groupBy("sample_id").agg(F.count_distinct(F.regexp_extract("condition_id", "^[a-z]+", 0)).alias("n")).where("n = 3").count() == 50
+
+
+def test_mined_loss(spark):
+    from siftwork.functions.exprs import stable_seed_value
+    from siftwork.operators import training
+    from siftwork.sources.registry import CONDITIONS
+
+    r = random.Random(3)
+    ids = [f"s{i}" for i in range(400)]
+    label = {k: i % 2 for i, k in enumerate(ids)}
+    vector = lambda: [r.uniform(-1, 1) for _ in range(3)]
+    logit = {(k, c.condition_id): (float(r.randint(-3, 3)), vector()) for k in ids for c in CONDITIONS}  # ties are frequent
+    plain = {k: (r.uniform(-2, 2), vector()) for k in ids}
+    scored = spark.createDataFrame([(k, label[k], c.condition_id, c.family, *logit[k, c.condition_id]) for k in ids for c in CONDITIONS], "sample_id string, label int, condition_id string, transform_family string, logit double, features array<double>").repartition(3)
+    clean = spark.createDataFrame([(k, *plain[k]) for k in ids], "sample_id string, logit double, features array<double>")
+    picked = {k: [None] * 3 for k in ids}
+    for p in images.picked_conditions(clean, 4, 17, 3).collect():
+        picked[p["sample_id"]][p["ordinal"]] = p["condition_id"]
+    want, explored = {}, 0
+    for k in ids:
+        margins = [logit[k, c][0] * (1 if label[k] else -1) for c in picked[k]]
+        at, rng = margins.index(min(margins)), random.Random(stable_seed_value(17, 4, k, "explore"))
+        if rng.random() < 0.20:
+            at, explored = rng.randrange(3), explored + 1
+        want[k] = picked[k][at]
+    mined = training.mined_conditions(scored, clean, 4, 17).collect()
+    assert {m["sample_id"]: m["condition_id"] for m in mined} == want
+    assert sum(m["explored"] for m in mined) == explored and 50 < explored < 110
+    bce = lambda z, y: np.log1p(np.exp(-z)) if y else np.log1p(np.exp(z))
+    apart = lambda a, b: 1 - np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    pairs = [(label[k], plain[k], logit[k, want[k]]) for k in ids]
+    base = [bce(a[0], y) + bce(b[0], y) + 0.25 * (a[0] - b[0]) ** 2 for y, a, b in pairs]
+    got = training.hard_mined_loss(scored, clean, 4, 17).first()
+    assert got["total"] == pytest.approx(np.mean(base) + 0.10 * np.mean([apart(a[1], b[1]) for _, a, b in pairs]))
+    bare = scored.drop("features"), clean.drop("features")
+    assert training.hard_mined_loss(*bare, 4, 17, feature_weight=0.0).first()["total"] == pytest.approx(np.mean(base))
+    with pytest.raises(ValueError, match="needs features"):
+        training.hard_mined_loss(*bare, 4, 17)
+    with pytest.raises(DataIntegrityError, match="exactly one score"):
+        training.hard_mined_loss(scored.where("condition_id <> 'blur_s1.0'"), clean, 4, 17)
