@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from siftwork.llm.quality import RULES, STOP_WORDS
+from siftwork.llm.quality import SQL_RULES, STOP_WORDS
 
 ORACLES: dict[str, str] = {}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 _OF = {"symbol_ratio": "n_symbols / n_words", "repeat_ratio": "n_repeat_words / n_words", "mean_word_chars": "word_chars / n_words", "dup_line_ratio": "n_dup_lines / n_lines", "stop_ratio": "has_stop_word", "n_words": "n_words"}
-_FAILS = ",\n    ".join(f"CASE WHEN NOT (coalesce({_OF[r.measure]}, 0) {r.keep} {r.threshold}) THEN '{r.name}' END" for r in RULES)
+_FAILS = ",\n    ".join(f"CASE WHEN NOT (coalesce({_OF[r.measure]}, 0) {r.keep} {r.threshold}) THEN '{r.name}' END" for r in SQL_RULES)
 _STOP = r"(?i)(?:^|[\x20\x09-\x0D])(?:" + "|".join(STOP_WORDS) + r")(?:$|[\x20\x09-\x0D.,;:!?])"
 
 ORACLES["op8_quality_rules"] = rf"""

@@ -550,6 +550,24 @@ def test_rows_without_ids(spark):
     assert left.where("doc_id is null").count() > 0
 
 
+def test_stop_words(spark, tmp_path):
+    from siftwork.llm import quality as op
+
+    keys = " ".join(f"key{i}" for i in range(10_000))
+    texts = [keys, f"{keys} in more", *("\n".join(f"The {i}a, word{i} {i}b." + " of" * (i % n == 0) for i in range(60)) for n in (1, 2, 3)), "the, LA.x thee of;of a\tUND! ofx"]
+    texts += [" ".join(["the" if i % n == 0 else f"w{i}" for i in range(200)]) for n in (40, 50, 51, 199)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = keyed(op.score(df), "kept", "failed")
+    query = keyed(op.op8_quality_rules(spark, str(tmp_path)), "kept", "failed")
+    for i, t in enumerate(texts):
+        w = WORD.findall(t)
+        share = sum(re.split("[.,;:!?]", x)[0].lower() in op.STOP_WORDS for x in w) / len(w)
+        assert ("few_stop_words" in got[i][1]) == (share < 0.02) and ("no_stop_words" in got[i][1]) == (share == 0)
+        assert query[i] == (got[i][0], ",".join(x for x in got[i][1] if x != "few_stop_words"))
+    assert got[1] == (False, ["few_stop_words"]) and got[2][0]
+
+
 # pipeline
 
 
