@@ -568,6 +568,14 @@ def test_stop_words(spark, tmp_path):
     assert got[1] == (False, ["few_stop_words"]) and got[2][0]
 
 
+def test_a_very_long_text_is_judged_by_ratios(spark):
+    from siftwork.llm import quality as op
+
+    text = " ".join("the" if i % 9 == 0 else f"w{i}" for i in range(1_000_020))
+    got = op.score(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got["n_words"], got["kept"], got["failed"]) == (1_000_020, True, [])
+
+
 # pipeline
 
 
