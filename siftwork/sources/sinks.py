@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import os
+import re
 import shutil
 import uuid
 from typing import Any
@@ -168,22 +169,91 @@ def artifact_mismatches(declared: DataFrame, found: DataFrame) -> DataFrame:
     return joined.select("path", problem.alias("problem")).where("problem is not null")
 
 
-#: Rules of the release scan: names, suffixes and contents that must not be published.
-SECRETS = (r"AKIA[0-9A-Z]{16}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"(?i)(?:api|secret)[_-]?key\s*[=:]\s*['\"][^'\"]{16,}")
-BANNED_SUFFIXES, MOST_BYTES = ("ckpt", "key", "onnx", "parquet", "pem", "pt", "safetensors"), 5_000_000
+#: Rules of the release scan: names, suffixes, contents that must not be published, and what documents must hold.
+SECRETS = (
+    r"(?i)hf_[a-z0-9]{20,}",
+    r"(?i)github_pat_[a-z0-9_]{20,}",
+    r"(?i)api[_-]?key\s*[=:]\s*[^\s\"'<>]{8,}",
+    r"AKIA[0-9A-Z]{16}",
+    r"(?i)-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    r"(?i)(?:api|secret)[_-]?key\s*[=:]\s*['\"][^'\"]{16,}",
+)
+BANNED_NAMES = (".env", "id_ed25519", "id_rsa")
+BANNED_SUFFIXES, MOST_BYTES = ("ckpt", "key", "onnx", "parquet", "pem", "pt", "pth", "safetensors"), 5_000_000
+REQUIRED_DOCUMENTS = ("README.md", "LICENSE", "THIRD_PARTY_NOTICES.md", "docs/datasets.md", "docs/model-card.md", "docs/devpost-draft.md", "docs/video-script.md")
+MODEL_CARD_FIELDS = ("intended use", "limitations", "datasets", "metrics", "ethical")
+NOTICES = (("DINOv2", "Apache-2.0"), ("SID-Set", "CC-BY-4.0"), ("CIFAKE", "MIT"), ("WildFake", "REQUIRES-VERIFICATION"))
+_UNPUBLISHED = {".git", ".venv", "__pycache__"}
+_HEADING = re.compile(r"(?m)^#{1,6}[ \t]+(.+?)[ \t]*#*[ \t]*$")
+
+
+def _unscanned(spark: SparkSession, folder: str, scanned: set[str]) -> list[tuple[str, int, bytes]]:
+    """path, length, content of the files that Spark's scan leaves out: empty ones, and names that begin with a dot or underscore."""
+    fs, root = _fs(spark, folder)
+    top, out, files = len(fs.makeQualified(root).toString()) + 1, [], fs.listFiles(root, True)
+    while files.hasNext():
+        status = files.next()
+        path, size = status.getPath().toString(), status.getLen()
+        if path in scanned or _UNPUBLISHED & set(path[top:].split("/")):
+            continue
+        content = b""
+        if 0 < size <= MOST_BYTES:  # a larger one is a violation already
+            stream = fs.open(status.getPath())
+            try:
+                content = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+            finally:
+                stream.close()
+        out.append((path, size, content))
+    return out
+
+
+def document_problems(documents: dict[str, bytes]) -> list[tuple[str, str]]:
+    """path, problem of the licence, the notices and the model card, as far as they are there."""
+
+    def text(path: str) -> str | None:
+        try:
+            return None if b"\0" in documents[path] else documents[path].decode()
+        except UnicodeDecodeError:
+            return None
+
+    out = []
+    if "LICENSE" in documents and "MIT License" not in (text("LICENSE") or ""):
+        out.append(("LICENSE", "licence is not MIT"))
+    if "THIRD_PARTY_NOTICES.md" in documents:
+        notices, sections = text("THIRD_PARTY_NOTICES.md") or "", {}
+        heads = list(_HEADING.finditer(notices))
+        for h, end in zip(heads, [*(h.start() for h in heads[1:]), len(notices)], strict=True):
+            name = h[1].strip().casefold()
+            sections[name] = sections.get(name, "") + notices[h.end() : end]
+        out += [("THIRD_PARTY_NOTICES.md", f"lacks {part}: {licence}") for part, licence in NOTICES if licence not in sections.get(part.casefold(), "")]
+    if "docs/model-card.md" in documents:
+        card = text("docs/model-card.md")
+        heads = [h[1].strip().casefold() for h in _HEADING.finditer(card or "")]
+        out += [("docs/model-card.md", f"lacks {f}") for f in MODEL_CARD_FIELDS if not any(h == f or h.startswith(f + " ") for h in heads)] if card is not None else [("docs/model-card.md", "not readable as UTF-8")]
+    return out
 
 
 def release_violations(spark: SparkSession, folder: str, required: tuple[str, ...] = ("README.md", "LICENSE")) -> DataFrame:
-    """path, problem over all files of a folder: banned suffixes, sizes, secrets, and documents that aren't there."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    """path, problem over all files of a folder: banned names, suffixes and places, sizes, secrets, documents that aren't there or lack what they must hold.
+
+    ``REQUIRED_DOCUMENTS`` are those of a whole release.
+    """
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length", "content")
+    rest = _unscanned(spark, folder, {r["path"] for r in scan.select("path").collect()})
+    files = scan.unionByName(spark.createDataFrame(rest, "path string, length long, content binary"))
     relative = F.regexp_replace("path", "^.*?" + folder.strip("/").replace(".", r"\.") + "/", "")
     text = F.replace(F.decode("content", "ISO-8859-1"), F.lit("\0"), F.lit(""))
-    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    suffix, name = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)), F.lower(F.regexp_extract("path", r"([^/]*)$", 1))
     secret = F.lit(False)
     for rule in SECRETS:
         secret = secret | text.rlike(rule)
-    problems = F.array_compact(F.array(F.when(suffix.isin(*BANNED_SUFFIXES), "banned file type"), F.when(F.col("length") > MOST_BYTES, "too large"), F.when(secret, "holds a secret")))
+    problems = F.array_compact(F.array(
+        F.when(name.isin(*BANNED_NAMES), "banned file name"), F.when(suffix.isin(*BANNED_SUFFIXES), "banned file type"), F.when(F.lower(relative).startswith("data/raw/"), "raw data"),
+        F.when(F.col("length") > MOST_BYTES, "too large"), F.when(secret, "holds a secret"),
+    ))
     found = files.select(relative.alias("path"), F.explode(problems).alias("problem"))
     want = spark.createDataFrame([(r,) for r in required], "path string")
     absent = want.join(files.select(relative.alias("path")), "path", "left_anti").select("path", F.lit("required file missing").alias("problem"))
-    return found.unionByName(absent)
+    judged = files.where(relative.isin("LICENSE", "THIRD_PARTY_NOTICES.md", "docs/model-card.md")).select(relative.alias("path"), "content").collect()
+    held = spark.createDataFrame(document_problems({r["path"]: bytes(r["content"]) for r in judged}), "path string, problem string")
+    return found.unionByName(absent).unionByName(held)

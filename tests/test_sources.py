@@ -131,6 +131,22 @@ def test_artifacts(spark, tmp_path):
     assert sorted(tuple(r) for r in sinks.release_violations(spark, f"{tmp_path}/r").collect()) == [("LICENSE", "required file missing"), ("c.py", "holds a secret"), ("w.pt", "banned file type")]
 
 
+def test_release_rules(spark, tmp_path):
+    secret = {"hf": "x hf_" + "aB3" * 7, "pat": "github_pat_" + "a_1" * 7, "plain": "API-KEY: abcd1234", "pem": "-----begin rsa private key-----", "aws": "AKIA" + "A1" * 8, "quoted": "secret_key = '0123456789abcdef'", "nul": "hf\0_" + "a" * 20, ".hidden": "hf_" + "a" * 20}
+    fine = {"short": "hf_abc api_key=abc", "README.md": "api_key = <your key>", ".git/config": "hf_" + "a" * 20}
+    named = {".env": "banned file name", "sub/ID_RSA": "banned file name", "id_ed25519": "banned file name", "w.PTH": "banned file type", "data/raw/a.txt": "raw data"}
+    card = "# Intended use\n## Limitations of it\n# Datasets\n# metrics #\n"
+    documents = {"LICENSE": "Apache", "THIRD_PARTY_NOTICES.md": "# DINOv2\nApache-2.0\n## SID-Set\nCC-BY-4.0\n# CIFAKE\nno\n", "docs/model-card.md": card, "docs/datasets.md": ""}
+    for name, content in {**secret, **fine, **dict.fromkeys(named, ""), **documents}.items():
+        touch(tmp_path, f"r/{name}")
+        with open(f"{tmp_path}/r/{name}", "w") as f:
+            f.write(content)
+    got = sorted(tuple(r) for r in sinks.release_violations(spark, f"{tmp_path}/r", sinks.REQUIRED_DOCUMENTS).collect())
+    want = [(n, "holds a secret") for n in secret] + list(named.items()) + [(n, "required file missing") for n in ("docs/devpost-draft.md", "docs/video-script.md")]
+    want += [("LICENSE", "licence is not MIT"), ("THIRD_PARTY_NOTICES.md", "lacks CIFAKE: MIT"), ("THIRD_PARTY_NOTICES.md", "lacks WildFake: REQUIRES-VERIFICATION"), ("docs/model-card.md", "lacks ethical")]
+    assert got == sorted(want)
+
+
 def test_acquisition_resumes(spark, tmp_path):
     shards, schema = f"{tmp_path}/shards", "sample_id string, label int"
     spark.createDataFrame([(f"a{i}", i % 3) for i in range(12)], schema).coalesce(1).write.parquet(shards)
