@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftwork.errors import DataIntegrityError, LeakageError
 from siftwork.functions.exprs import half_up_count
@@ -163,12 +164,24 @@ def uniform(seed: int, *columns: str) -> Column:
     return F.conv(F.substring(seeded(seed, *columns), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
-def weighted_sample(weighted: DataFrame, draws: int, seed: int, key: str = "sample_id") -> DataFrame:
-    """draw, ``key``: draws with replacement, in proportion to weight; draw k's uniform falls in one row's stretch of the running weights.
+def _distinct_sample(weighted: DataFrame, draws: int, seed: int, key: str) -> DataFrame:
+    """draw, ``key``: the rows of positive weight with the least -ln(u) / weight, u in (0, 1] by each row's own digest."""
+    rows = weighted.where("weight > 0").select(key, (-F.ln(1 - uniform(seed, key)) / F.col("weight")).alias("at"))
+    n = rows.count()
+    if n < draws:
+        raise DataIntegrityError(f"{draws} draws without replacement need as many rows of positive weight, found {n}")
+    ranked = rows.orderBy("at", key).select(key).rdd.zipWithIndex().filter(lambda r: r[1] < draws).map(lambda r: (r[1], r[0][0]))
+    return weighted.sparkSession.createDataFrame(ranked, T.StructType([T.StructField("draw", T.LongType()), weighted.schema[key]]))
+
+
+def weighted_sample(weighted: DataFrame, draws: int, seed: int, key: str = "sample_id", replacement: bool = True) -> DataFrame:
+    """draw, ``key``: draws with replacement (or of distinct rows, without), in proportion to weight; draw k's uniform falls in one row's stretch of the running weights.
 
     The running sum is taken over digests' prefixes and within them; a draw is matched to a row by
     the bucket of 1/1024 that both touch, so the join is on equal keys.
     """
+    if not replacement:
+        return _distinct_sample(weighted, draws, seed, key)
     keyed = weighted.select(key, "weight", F.md5(F.col(key)).alias("d")).withColumn("head", F.substring("d", 1, 3))
     sums = keyed.groupBy("head").agg(F.sum("weight").alias("w"))
     before = sums.select("head", (F.sum("w").over(Window.orderBy("head")) - F.col("w")).alias("before"), F.sum("w").over(Window.partitionBy(F.lit(0))).alias("total"))

@@ -149,3 +149,17 @@ def test_enforce_names_examples(spark):
         checks.enforce(df)
     with pytest.raises(DataIntegrityError, match="lacks columns: b"):
         checks.require_columns(df, "label", "b")
+
+
+def test_sample_without_replacement(spark):
+    rows = spark.range(3000).select(F.concat(F.lit("k"), F.col("id")).alias("sample_id"), F.when(F.col("id") % 3 == 0, 4.0).when(F.col("id") < 10, 0.0).otherwise(1.0).alias("weight"))
+    weight = {r["sample_id"]: r["weight"] for r in rows.collect()}
+    got = split.weighted_sample(rows.repartition(3), 300, 7, replacement=False).collect()
+    assert sorted(r["draw"] for r in got) == list(range(300)) and len({r["sample_id"] for r in got}) == 300
+    heavy = sum(weight[r["sample_id"]] == 4.0 for r in got)
+    assert all(weight[r["sample_id"]] > 0 for r in got) and 160 < heavy < 240  # two thirds of the mass, some of it used up
+    assert sorted(got) == sorted(split.weighted_sample(rows.repartition(7), 300, 7, replacement=False).collect())
+    positive = sum(w > 0 for w in weight.values())
+    assert split.weighted_sample(rows, positive, 7, replacement=False).select("sample_id").distinct().count() == positive
+    with pytest.raises(DataIntegrityError, match="without replacement"):
+        split.weighted_sample(rows, positive + 1, 7, replacement=False)
