@@ -4,12 +4,15 @@ Every run of three consecutive lines of a document is hashed to 128 bits. A wind
 occurs earlier (smaller doc_id, or the same document further up) covers its three lines, and all
 covered lines go; windows are judged on the input. Windows are counted with map-side combination;
 the first places of repeated windows are written out, so that the join back has exchanges on both
-sides that adaptive execution may split where one window is hot. Texts are shuffled once, by doc_id.
+sides that adaptive execution may split where one window is hot. Columns stay flat and each text is
+shuffled once, in the join of the documents with their covered lines.
 
 Defined results: null texts stay null with 0 lines; an empty text is one empty line; documents of
 fewer than three lines have no window and stay whole; windows without any word are no windows, so
-blank stretches stay. Of rows that repeat a doc_id with the same text none is earlier than the
-other; documents without doc_id stay whole. All input columns stay; ``n_lines``, ``n_removed`` and ``kept`` replace columns of that name.
+blank stretches stay. Rows are told apart by doc_id and a digest of the text: rows that repeat both
+are one document, none earlier than the other; rows that share a doc_id only are ordered by that
+digest. Documents without doc_id stay whole and take nothing from others. All input columns stay;
+``n_lines``, ``n_removed`` and ``kept`` replace columns of that name.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ def _lines(text):
 
 
 def window_places(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, h1, h2) of every window; at counts lines from 0."""
+    """(doc_id, version, at, h1, h2) of every window; at counts lines from 0, version is a digest of the text."""
 
     def hashes(x):
         def one(first, i):
@@ -39,32 +42,43 @@ def window_places(docs: DataFrame) -> DataFrame:
 
         return F.filter(F.transform(F.slice(x, 1, F.greatest(F.size(x) - (LINES - 1), F.lit(0))), one), lambda w: w.isNotNull())
 
-    return docs.where("text is not null").select("doc_id", F.inline(let(_lines(F.col("text")), hashes)))
+    return docs.where("text is not null and doc_id is not null").select("doc_id", F.xxhash64("text").alias("version"), F.inline(let(_lines(F.col("text")), hashes)))
 
 
 def covered_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, covered): the lines that a later occurrence of a window covers."""
+    """(doc_id, version, covered): the lines that a later occurrence of a window covers."""
     places = written(window_places(docs))
-    first = written(places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"))
-    later = places.join(first, ["h1", "h2"]).where(F.struct("doc_id", "at") > F.col("first"))
-    starts = later.groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
-    return starts.select("doc_id", F.flatten(F.transform("starts", lambda s: F.array(*(s + k for k in range(LINES))))).alias("covered"))
+    place = F.struct("doc_id", "version", "at")
+    first = written(places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"))
+    later = places.join(first, ["h1", "h2"]).where(place > F.col("first"))
+    starts = later.groupBy("doc_id", "version").agg(F.collect_set("at").alias("starts"))
+    return starts.select("doc_id", "version", F.flatten(F.transform("starts", lambda s: F.array(*(s + k for k in range(LINES))))).alias("covered"))
+
+
+def _judged(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """(rows with every column under a private name, n_lines, n_removed, and left: the text of changed rows, else null; the private names)."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    flat = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    doc, text = names["doc_id"], names["text"]
+    covered = covered_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias("covered_doc"), F.col("version").alias("covered_version"), "covered")
+    joined = flat.join(covered, (F.col(doc) == F.col("covered_doc")) & (F.xxhash64(text) == F.col("covered_version")), "left")
+
+    def without(x):
+        stay = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "covered")
+        return let(stay, lambda i: F.struct((F.size(x) - F.size(i)).cast("long").alias("n_removed"), F.array_join(F.transform(i, lambda k: F.get(x, k)), "\n").alias("left")))
+
+    changed = F.when(F.col("covered").isNotNull(), let(_lines(F.col(text)), without))
+    lines = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(_lines(F.col(text)))).cast("long")
+    found = joined.select(*names.values(), lines.alias("n_lines"), changed.alias("d"))
+    return found.select(*names.values(), "n_lines", F.coalesce("d.n_removed", F.lit(0)).cast("long").alias("n_removed"), F.col("d.left").alias("left")), names
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with n_lines, n_removed and kept, the text of the lines that stay."""
-    row = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed", "kept"))).alias("__row"))
-    joined = row.join(covered_lines(docs.select("doc_id", "text")), "doc_id", "left")
-
-    def kept(x):
-        stay = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "covered")
-        changed = let(stay, lambda i: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(i)).cast("long").alias("n_removed"), F.array_join(F.transform(i, lambda k: F.get(x, k)), "\n").alias("kept")))
-        whole = F.struct(F.size(x).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.col("text").alias("kept"))
-        return F.when(F.col("covered").isNull(), whole).otherwise(changed)
-
-    found = joined.select("__row", F.when(F.col("text").isNotNull(), let(_lines(F.col("text")), kept)).alias("d"))
-    zero = lambda c: F.coalesce(F.col(f"d.{c}"), F.lit(0)).cast("long").alias(c)
-    return found.select("__row.*", zero("n_lines"), zero("n_removed"), "d.kept")
+    rows, names = _judged(docs)
+    kept = F.when(F.col("n_removed") > 0, F.col("left")).otherwise(F.col(names["text"]))
+    own = [F.col(n).alias(c) for c, n in names.items() if c not in ("n_lines", "n_removed", "kept")]
+    return rows.select(*own, "n_lines", "n_removed", kept.alias("kept"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,11 +88,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with repeated lines removed; a document of which nothing is left goes."""
-    packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__all"))
-    out = dedup_lines(packed).where(r"n_removed = 0 or kept rlike '[^\\x20\\x09-\\x0D]'")
+    rows, names = _judged(docs)
     changed = F.col("n_removed") > 0
-    text = F.when(changed, F.col("kept")).otherwise(F.col("text"))
-    new = {"text": text}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__all.n_chars"))
-    return out.select(*(new.get(c, F.col(f"__all.`{c}`")).alias(c) for c in docs.columns))
+    text = F.when(changed, F.col("left")).otherwise(F.col(names["text"]))
+    out = {c: F.col(n) for c, n in names.items()} | {"text": text}
+    if "n_chars" in names:
+        out["n_chars"] = F.when(changed, F.length("left").cast(docs.schema["n_chars"].dataType)).otherwise(F.col(names["n_chars"]))
+    return rows.where(r"n_removed = 0 or left rlike '[^\\x20\\x09-\\x0D]'").select(*(out[c].alias(c) for c in docs.columns))

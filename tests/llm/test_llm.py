@@ -411,6 +411,21 @@ def test_line_dedup(spark, docs, rows, none):
     assert op.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_rows_that_share_an_id(spark):
+    """Rows of one doc_id keep their own lines; equal rows are one document; rows without doc_id take nothing."""
+    from siftwork.llm import line_dedup as op
+
+    data = [(None, "a\nb\nc"), (1, "short"), (1, "x\na\nb\nc"), (2, "a\nb\nc\ny"), (2, "a\nb\nc\ny"), (3, "p\nq\nr"), (3, "0\np\nq\nr")]
+    df = spark.createDataFrame(data, "doc_id long, text string").selectExpr("doc_id", "text", "1 as covered", "2 as version", "3 as c0", "4 as `left`", "5 as covered_doc", "6 as d")
+    out = op.dedup_lines(df)
+    got = sorted(((r["doc_id"] or 0, r["text"], r["n_removed"], r["kept"]) for r in out.collect()), key=repr)
+    assert out.columns == [*df.columns, "n_lines", "n_removed", "kept"]
+    assert [r for r in got if r[0] < 3] == sorted([(0, "a\nb\nc", 0, "a\nb\nc"), (1, "short", 0, "short"), (1, "x\na\nb\nc", 0, "x\na\nb\nc"), *[(2, "a\nb\nc\ny", 3, "y")] * 2], key=repr)
+    assert sorted(r[2] for r in got if r[0] == 3) == [0, 3]
+    stage = op.line_dedup_stage(spark, df, "")
+    assert stage.columns == df.columns and stage.count() == len(data) - sum(r[3] == "" for r in got)
+
+
 # 8 quality rules
 
 
