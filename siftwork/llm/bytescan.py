@@ -1,12 +1,16 @@
-"""Vectorised scans of UTF-8 text in Arrow batches: words, their hashes, hashes of word runs.
+"""Vectorised scans of UTF-8 text in Arrow batches: words, their digests, hashes of word runs.
 
 Words are found on bytes: every byte of a multi-byte character is above 0x7F, so classes of
-ASCII bytes split UTF-8 correctly. Hashes are polynomial prefix sums modulo 2**64, which gives
-the hash of any run of bytes or words in constant time; two tables give independent hashes.
+ASCII bytes split UTF-8 correctly. A word's two 64-bit hashes are the halves of its BLAKE2b digest,
+taken once for each distinct word of a batch. Runs of words are hashed by doubling: that of
+2k words mixes those of its halves, and any length follows from two overlapping runs of a power
+of two. Mixing isn't linear, so no family of texts collides by construction, and the two kinds of
+hash use different halves of the digest and different steps.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,7 +107,8 @@ class Texts:
         return sums
 
     def hash_spans(self, starts: np.ndarray, ends: np.ndarray, kind: int = 1) -> np.ndarray:
-        """A 64-bit hash of each run of bytes; equal runs have equal hashes."""
+        """A 64-bit hash of each run of bytes, for grouping only: equal runs have equal hashes, and long runs of a
+        certain make collide, so that what is grouped by it must be compared."""
         sums = self.byte_sums(kind)
         return mix((sums[ends] - sums[starts]) * _powers(kind, len(self.bytes) + 1, True)[starts] + (ends - starts).astype(np.uint64))
 
@@ -115,9 +120,20 @@ class Words:
         self.texts, self.starts, self.ends = texts, starts, ends
         self.first = np.searchsorted(starts, np.append(texts.starts, len(texts.bytes)))
         self.count = np.diff(self.first)
+        self.digests: tuple[np.ndarray, np.ndarray] | None = None
 
     def hashes(self, kind: int = 1) -> np.ndarray:
-        return self.texts.hash_spans(self.starts, self.ends, kind)
+        """Half ``kind`` of the digest of each word."""
+        if self.digests is None:
+            size = self.ends - self.starts
+            at, _ = spread(self.starts, self.ends)
+            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+            joined = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(self.texts.bytes[at])])
+            coded = joined.dictionary_encode()
+            each = b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in coded.dictionary.to_pylist())
+            self.digests = np.frombuffer(each, np.uint64).reshape(-1, 2), coded.indices.to_numpy()
+        distinct, which = self.digests
+        return distinct[which, kind - 1] if len(which) else np.zeros(0, np.uint64)
 
     def owner(self) -> np.ndarray:
         """The number of each word's text."""
@@ -127,18 +143,40 @@ class Words:
         return self.texts.bytes[self.starts[i] : self.ends[i]].tobytes()
 
 
+#: Odd factors of the two kinds of run hashes: of the first part, of the second, of the length.
+_FACTORS = {
+    1: tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)),
+    2: tuple(np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)),
+}
+
+
 class Runs:
-    """Hashes of runs of consecutive words."""
+    """Hashes of runs of consecutive words, from hashes of the words."""
 
     def __init__(self, word_hashes: np.ndarray, kind: int = 1):
-        n = len(word_hashes)
         self.kind = kind
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(word_hashes * _powers(kind, n, False), out=self.sums[1:])
+        self.levels = [word_hashes]
+
+    def _level(self, j: int) -> np.ndarray:
+        """Hashes of all runs of 2**j words."""
+        a, b, _ = _FACTORS[self.kind]
+        while len(self.levels) <= j:
+            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            n = max(len(last) - half, 0)
+            self.levels.append(mix(last[:n] * a + last[half : half + n] * b))
+        return self.levels[j]
 
     def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        inverse = _powers(self.kind, len(self.sums), True)
-        return mix((self.sums[ends] - self.sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        a, b, c = _FACTORS[self.kind]
+        size = ends - starts
+        out = np.zeros(len(size), np.uint64)
+        longest = int(size.max()) if len(size) else 0
+        for j in range(longest.bit_length()):
+            of = np.flatnonzero((size >> j) == 1)
+            if len(of):
+                level, begin, n = self._level(j), starts[of], size[of]
+                out[of] = mix(level[begin] * a + level[begin + n - (1 << j)] * b + n.astype(np.uint64) * c)
+        return out
 
 
 def window_starts(count: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -13,12 +13,15 @@ about one gram in seven is an anchor of some window.
    sides: a window is a repeat if an equal one starts earlier. Touching windows merge into maximal
    spans, which is what ``repeats`` returns.
 
-Equality of windows is equality of two independent 64-bit hashes, the anchor's and the window's
-or run's. Whole copies of a text are settled by the digest of the text and aren't expanded.
-
-Defined results: null and blank texts have no words and nothing is removed; repeated rows of one
-doc_id count as one document each only if their texts differ, and the operator expects doc_id
-unique; documents without doc_id stay whole; windows never cross documents. A text shorter than the window is never changed.
+Equality of windows is equality of 128 bits: the anchor's hash from one half of the words' digests,
+and the window's or run's from the other. Whole copies of a text are settled by the digest of the
+text and aren't expanded.
+
+Defined results: null and blank texts have no words and nothing is removed; windows never cross
+documents; a text shorter than the window is never changed. Rows are told apart by doc_id and a
+digest of the text: rows that repeat both are one document, none earlier than the other, and rows
+that share a doc_id only are ordered by that digest. Documents without doc_id stay whole and take
+nothing from others.
 """
 
 from __future__ import annotations
@@ -36,8 +39,8 @@ from siftwork.llm.common import table, written
 
 WIDTH, GRAM = 20, 7
 
-_ANCHORS = "seed long, doc_id long, at int"
-_EXTENDED = "doc_id long, n_words long, kept_sha256 string, text string, seeds array<long>, at array<int>, lo array<int>, hi array<int>, run array<long>, windows array<binary>"
+_ANCHORS = "seed long, doc_id long, version long, at int"
+_EXTENDED = "doc_id long, version long, n_words long, kept_sha256 string, text string, seeds array<long>, at array<int>, lo array<int>, hi array<int>, run array<long>, windows array<binary>"
 
 
 def anchors_of(words, width: int, gram: int):
@@ -71,7 +74,8 @@ def _find_anchors(width: int, gram: int):
                 grams, text, first, anchor = anchors_of(words, width, gram)
                 keep = np.flatnonzero(np.diff(anchor, prepend=-1) != 0)
                 at, of = anchor[keep], text[keep]
-                yield pa.record_batch({"seed": grams[at].view(np.int64), "doc_id": ids.take(pa.array(of)), "at": (at - words.first[of]).astype(np.int32)})
+                of_row = pa.array(of)
+                yield pa.record_batch({"seed": grams[at].view(np.int64), "doc_id": ids.take(of_row), "version": part.column("version").take(of_row), "at": (at - words.first[of]).astype(np.int32)})
 
     return scan
 
@@ -100,12 +104,12 @@ def _extend(width: int, gram: int):
                 seeded = part.column("at").to_pylist()
                 texts = part.column("text")
                 bounds = np.searchsorted(text, np.arange(words.texts.n + 1))
-                for t, doc in enumerate(part.column("doc_id").to_pylist()):
+                for t, doc in enumerate(zip(part.column("doc_id").to_pylist(), part.column("version").to_pylist(), strict=True)):
                     n, base = int(words.count[t]), words.first[t]
                     whole = copied[t] and n >= width
                     if whole or not seeded[t]:
                         kept = kept_words(words, t, np.full(n, bool(whole)))
-                        rows.append((doc, n, hashlib.sha256(kept).hexdigest(), None, None, None, None, None, None, None))
+                        rows.append((*doc, n, hashlib.sha256(kept).hexdigest(), None, None, None, None, None, None, None))
                         continue
                     mine, starts = anchor[bounds[t] : bounds[t + 1]], first[bounds[t] : bounds[t + 1]]
                     at = np.sort(np.array(seeded[t], np.int64)) + base
@@ -114,14 +118,14 @@ def _extend(width: int, gram: int):
                     run = other.hash(begin, end + width).view(np.int64)
                     hashes = other.hash(starts, starts + width)
                     blobs = [hashes[a:b].tobytes() for a, b in zip(lo, hi, strict=True)]
-                    rows.append((doc, n, None, texts[t].as_py(), grams[at].view(np.int64), at - base, begin - at, end - at, run, blobs))
+                    rows.append((*doc, n, None, texts[t].as_py(), grams[at].view(np.int64), at - base, begin - at, end - at, run, blobs))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _TYPES, strict=True)], names=_NAMES)
 
     return scan
 
 
 _NAMES = [x.strip().split()[0] for x in _EXTENDED.split(", ")]
-_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary())]
+_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.binary())]
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +140,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         off, of = spread(lo, lo + size)
         at = batch.column("at").to_numpy()
         take = lambda c: batch.column(c).to_numpy()[of]
-        yield pa.record_batch({"seed": take("seed"), "window": hashes, "doc_id": take("doc_id"), "start": (at[of] + off).astype(np.int32)})
+        yield pa.record_batch({"seed": take("seed"), "window": hashes, "doc_id": take("doc_id"), "version": take("version"), "start": (at[of] + off).astype(np.int32)})
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,39 +161,42 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extended(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    anchors = written(docs.mapInArrow(_find_anchors(width, gram), _ANCHORS))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
+    named = docs.where("doc_id is not null")
+    anchors = written(named.mapInArrow(_find_anchors(width, gram), _ANCHORS))
     seeds = written(anchors.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"))
-    places = anchors.join(seeds, "seed").groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    digests = docs.select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest"))
+    places = anchors.join(seeds, "seed").groupBy("doc_id", "version").agg(F.collect_set("at").alias("at"))
+    digests = named.select("doc_id", "version", F.unhex(F.sha2("text", 256)).alias("digest"))
     firsts = written(digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
-    copies = digests.join(firsts, "digest").where("doc_id > first").select("doc_id", F.lit(True).alias("copied"))
-    joined = docs.join(places, "doc_id", "left").join(copies, "doc_id", "left")
-    return written(joined.select("doc_id", "text", "at", F.coalesce("copied", F.lit(False)).alias("copied")).mapInArrow(_extend(width, gram), _EXTENDED))
+    copies = digests.join(firsts, "digest").where("doc_id > first").select("doc_id", "version").distinct().withColumn("copied", F.lit(True))
+    joined = docs.join(places, ["doc_id", "version"], "left").join(copies, ["doc_id", "version"], "left")
+    return written(joined.select("doc_id", "version", "text", "at", F.coalesce("copied", F.lit(False)).alias("copied")).mapInArrow(_extend(width, gram), _EXTENDED))
 
 
 def _repeat_spans(extended: DataFrame, width: int) -> DataFrame:
-    """(doc_id, begin, end) in words: stretches covered by windows that also start earlier; they may touch."""
+    """(doc_id, version, begin, end) in words: stretches covered by windows that also start earlier; they may touch."""
     zipped = F.arrays_zip("seeds", "at", "lo", "hi", "run", "windows")
-    places = written(extended.where("seeds is not null").select("doc_id", F.explode(zipped).alias("p")).select("doc_id", F.col("p.seeds").alias("seed"), "p.at", "p.lo", "p.hi", "p.run", "p.windows"))
+    places = written(extended.where("seeds is not null").select("doc_id", "version", F.explode(zipped).alias("p")).select("doc_id", "version", F.col("p.seeds").alias("seed"), "p.at", "p.lo", "p.hi", "p.run", "p.windows"))
     key = ["seed", "run", "lo", "hi"]
-    classes = written(places.groupBy(*key).agg(F.min(F.struct("doc_id", "at", "windows")).alias("first"), F.count("*").alias("n")))
-    firsts = classes.where("n > 1").select(*key, F.col("first.doc_id").alias("doc0"), F.col("first.at").alias("at0"))
-    later = places.drop("windows").join(firsts, key).where("doc_id > doc0 or (doc_id = doc0 and at > at0)")
-    whole = later.select("doc_id", (F.col("at") + F.col("lo")).alias("begin"), (F.col("at") + F.col("hi") + width).alias("end"))
+    classes = written(places.groupBy(*key).agg(F.min(F.struct("doc_id", "version", "at", "windows")).alias("first"), F.count("*").alias("n")))
+    firsts = classes.where("n > 1").select(*key, F.struct("first.doc_id", "first.version", "first.at").alias("first"))
+    later = places.drop("windows").join(firsts, key).where(F.struct("doc_id", "version", "at") > F.col("first"))
+    whole = later.select("doc_id", "version", (F.col("at") + F.col("lo")).alias("begin"), (F.col("at") + F.col("hi") + width).alias("end"))
     several = written(classes.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"))
-    edges = classes.join(several, "seed").select("seed", "lo", "first.doc_id", "first.at", "first.windows")
-    windows = written(edges.mapInArrow(_windows, "seed long, window long, doc_id long, start int"))
-    first = written(windows.groupBy("seed", "window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("seed", "window", "first"))
-    repeated = windows.join(first, ["seed", "window"]).where(F.struct("doc_id", "start") > F.col("first"))
-    return whole.unionByName(repeated.select("doc_id", F.col("start").alias("begin"), (F.col("start") + width).alias("end")))
+    edges = classes.join(several, "seed").select("seed", "lo", "first.doc_id", "first.version", "first.at", "first.windows")
+    windows = written(edges.mapInArrow(_windows, "seed long, window long, doc_id long, version long, start int"))
+    place = F.struct("doc_id", "version", "start")
+    first = written(windows.groupBy("seed", "window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("seed", "window", "first"))
+    repeated = windows.join(first, ["seed", "window"]).where(place > F.col("first"))
+    return whole.unionByName(repeated.select("doc_id", "version", F.col("start").alias("begin"), (F.col("start") + width).alias("end")))
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each document, and kept, the remaining words of changed ones."""
     extended = _extended(docs, width, gram)
-    spans = _repeat_spans(extended, width).groupBy("doc_id").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    changed = extended.where("seeds is not null").select("doc_id", "text").join(spans, "doc_id", "left")
+    spans = _repeat_spans(extended, width).groupBy("doc_id", "version").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
+    changed = extended.where("seeds is not null").select("doc_id", "version", "text").join(spans, ["doc_id", "version"], "left").select("doc_id", "text", "spans")
     done = extended.where("seeds is null").select("doc_id", "n_words", F.when(F.col("kept_sha256") == _EMPTY, F.col("n_words")).otherwise(F.lit(0)).alias("n_removed"), "kept_sha256", F.lit(None).cast("string").alias("kept"))
     return done.unionByName(changed.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"))
 
@@ -204,7 +211,7 @@ def repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
     """
     extended = _extended(docs, width, gram)
     whole = extended.where((F.col("kept_sha256") == _EMPTY) & (F.col("n_words") > 0)).select("doc_id", F.lit(0).alias("begin"), F.col("n_words").cast("int").alias("end"))
-    spans = _repeat_spans(extended, width).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("s"))
+    spans = _repeat_spans(extended, width).groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("s"))
     grow = lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["begin"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["begin"].alias("begin"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x)))
     merged = spans.select("doc_id", F.explode(F.aggregate("s", F.array().cast("array<struct<begin:int,end:int>>"), grow)).alias("m"))
     return merged.select("doc_id", "m.begin", "m.end").unionByName(whole)

@@ -95,6 +95,54 @@ def test_repeats_are_maximal(spark):
     assert sorted(tuple(r) for r in op.repeats(df).collect()) == [(2, 1, 46), (4, 0, 48)]
 
 
+def thue_morse(k):
+    """Words of 2**k letters that differ everywhere and that every polynomial hash modulo 2**64 with an odd step takes for equal."""
+    a, b = "a", "b"
+    for _ in range(k):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_words_that_polynomials_take_for_equal(spark):
+    from siftwork.llm import near_dedup, substring_dedup
+
+    a, b = thue_morse(10)
+    head, tail = " ".join(f"w{i}" for i in range(12)), " ".join(f"v{i}" for i in range(12))
+    runs = ["" + " ".join(x) for x in thue_morse(10)]
+    data = [(1, f"{head} {a} {tail}"), (2, f"{head} {b} {tail}"), (3, a), (4, b), (5, runs[0]), (6, runs[1])]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    assert keyed(substring_dedup.dedup(df), "n_words", "n_removed", "kept_sha256") == brute_substring(data)
+    assert keyed(near_dedup.near_duplicates(df), "n_shingles", "component_id", "kept") == brute_near(data)
+
+
+def test_runs_of_words():
+    import numpy as np
+
+    from siftwork.llm.bytescan import Runs
+
+    rng = np.random.default_rng(2)
+    words = rng.integers(0, 3, 400).astype(np.uint64)
+    starts, ends = (x.ravel() for x in np.meshgrid(np.arange(360), np.arange(1, 41)))
+    for kind in (1, 2):
+        hashes = Runs(words, kind).hash(starts, starts + ends)
+        by_run = {}
+        for s, n, h in zip(starts.tolist(), ends.tolist(), hashes.tolist(), strict=True):
+            assert by_run.setdefault(tuple(words[s : s + n].tolist()), h) == h
+        assert len(set(by_run.values())) == len(by_run)
+
+
+def test_substring_dedup_rows_that_share_an_id(spark):
+    """Each row's spans fall on its own text; equal rows are one document; rows without doc_id take nothing."""
+    from siftwork.llm import substring_dedup as op
+
+    same = " ".join(f"s{i}" for i in range(40))
+    data = [(None, f"q {same}"), (1, same), (2, f"a {same} b"), (1, "short text"), (3, same), (3, same)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in op.dedup(df).collect())
+    assert got == [(0, 41, 0), (1, 2, 0), (1, 40, 0), (2, 42, 40), (3, 40, 40), (3, 40, 40)]
+    assert sorted(tuple(r) for r in op.repeats(df.where("doc_id < 3")).collect()) == [(2, 1, 41)]
+
+
 # 2 byte-level BPE
 
 
@@ -550,11 +598,11 @@ def test_rows_without_ids(spark):
     import corpus_pipeline
     from siftwork.llm import byte_bpe, flac, licenses, line_dedup, mixing, near_dedup, quality, substring_dedup
 
-    text = "\n".join(" ".join(f"the-{i}-{j}" for j in range(20)) for i in range(5)) + " the end of it"
+    text = "\n".join(" ".join(f"the-{i}-{j}" for j in range(20)) for i in range(5)) + " the end of all that is"
     data = [(None, text, None, None, None), (1, text, None, "a", None), (2, text, "en", "a", 3), (None, None, None, None, None)]
     df = spark.createDataFrame(data, SCHEMA)
     path = byte_bpe.vocabulary_path()
-    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in substring_dedup.dedup(df).collect()) == [(0, 0), (0, 0), (1, 0), (2, 104)]
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in substring_dedup.dedup(df).collect()) == [(0, 0), (0, 0), (1, 0), (2, 106)]
     assert sorted((r["doc_id"] or 0, r["kept"]) for r in near_dedup.near_duplicates(df).collect()) == [(0, True), (0, True), (1, True), (2, False)]
     for out in (byte_bpe.decode(byte_bpe.encode(df, path), path), flac.read_back(flac.store(df)), licenses.scan_licenses(df), line_dedup.dedup_lines(df), quality.score(df), mixing.mix(df)):
         assert out.count() == 4
