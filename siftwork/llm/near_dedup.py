@@ -14,15 +14,19 @@ At a similarity of 0.75 a pair shares no table with probability 2 * (1 - 0.75**3
 4. Links make components. What is left are pairs in different components. The members of tables
    that hold several components meet once more by two exact filters, on the rarest elements in which
    they differ from a common pivot and on their rarest shingles, and those pairs are verified too; so
-   no table's pair is lost whatever the table's size, and neither pairs inside a component nor all
-   pairs of a table are ever formed.
+   no table's pair is lost whatever the table's size. Before any pair is formed, the places at
+   which a document meets others are cut to those that some partner's size and place allow, and
+   meet as one row for each component, so pairs inside a component are never formed.
 
-Every link is confirmed on full sets. Nothing is capped.
+Every link is confirmed on full sets of shingle hashes (64 bits, from digests of the words).
+Nothing is capped. In step 4 pages that share a template and hold text of their own meet nowhere
+unless they reach the similarity. What remains quadratic is a corpus of documents that share their
+rare shingles too, stay below the similarity, and yet share tables: blocks of text dealt at random.
 
 Defined results: null, blank and wordless texts have no shingles and link with nothing; a text of
-one to four words has its whole sequence as one shingle. doc_id is expected unique; of repeated
-rows with equal text each counts once for each distinct doc_id. Documents without doc_id are kept
-and link with nothing.
+one to four words has its whole sequence as one shingle. Repeated rows get equal results; rows that
+share a doc_id only are each judged by its own text, and what links one of them links the doc_id.
+Documents without doc_id are kept and link with nothing.
 """
 
 from __future__ import annotations
@@ -172,10 +176,25 @@ def _rarest_first(rows: DataFrame, keys: list[str], size: str, prefix: Column) -
     return written(placed.withColumn("at", F.col("alone") + F.col("i") + 1).where("at <= prefix").select(*keys, F.col("entry.item").alias("item"), "at"))
 
 
-def _joined(prefixes: DataFrame, columns: list[str], also: list[str]) -> DataFrame:
-    """Pairs of rows (columns with x_ and y_) that share an element, x's doc_id the smaller, in different components."""
-    left, right = (prefixes.select("item", *also, *(F.col(c).alias(f"{s}_{c}") for c in columns)) for s in ("x", "y"))
-    return left.join(right, ["item", *also]).where("x_doc_id < y_doc_id and x_component <> y_component").where(_could_reach("x_n", "y_n"))
+def _met(rows: DataFrame, also: list[str]) -> DataFrame:
+    """Pairs (x, y) of documents in different components that share an element and pass the test of places.
+
+    ``rows``: item, ``also``, doc_id, component, n, need, room. A pair passes where each one's need is at
+    most the other's room. In such a pair one at least has a room as large as its own need, or each
+    need would be below the other; only those lead the join. Elements without such a row, or within
+    one component, and rows with less room than the least need of a leader, go before it.
+    """
+    key = ["item", *also]
+    leads = F.col("room") >= F.col("need")
+    groups = written(rows.groupBy(*key, "component").agg(F.min("need").alias("need"), F.max("room").alias("room"), F.min(F.when(leads, F.col("need"))).alias("lead")))
+    open_ = groups.groupBy(*key).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("lead").alias("least")).where("lo < hi and least is not null").select(*key, "least")
+    left = written(groups.join(open_, key).where("room >= least").drop("least"))
+    x, y = (left.select(*key, *(F.col(c).alias(f"{s}_{c}") for c in ("component", "need", "room", "lead"))) for s in ("x", "y"))
+    both = F.expr("x_need <= y_room and y_need <= x_room and x_component <> y_component and (y_lead is null or x_component < y_component)")
+    meet = written(x.where("x_lead is not null").join(y, key).where(both).select(*key, "x_component", "y_component"))
+    x, y = (rows.select(*key, *(F.col(c).alias(f"{s}_{c}") for c in ("component", "doc_id", "n", "need", "room"))) for s in ("x", "y"))
+    pairs = meet.join(x, [*key, "x_component"]).join(y, [*key, "y_component"]).where("x_need <= y_room and y_need <= x_room").where(_could_reach("x_n", "y_n"))
+    return pairs.select(F.least("x_doc_id", "y_doc_id").alias("x"), F.greatest("x_doc_id", "y_doc_id").alias("y"))
 
 
 def _rest(several: DataFrame, centres: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
@@ -202,16 +221,18 @@ def _rest(several: DataFrame, centres: DataFrame, groups: DataFrame, sets: DataF
     # differences from two pivots are elements of two kinds
     tagged = apart.withColumn("items", F.transform("items", lambda x: F.struct("pivot", x.alias("item"))))
     edits = _rarest_first(tagged, ["doc_id", "component", "n", "e", "linked", "p"], "e", F.col("e") - F.greatest(F.lit(1), least) + 1)
-    met = _joined(edits, ["doc_id", "component", "n", "e", "linked", "at"], []).where("not (x_linked and y_linked)")
-    room = 1 + F.least(F.col("x_e") - F.col("x_at"), F.col("y_e") - F.col("y_at"))
-    near = met.where(14 * room >= 7 * (F.col("x_e") + F.col("y_e")) - (F.col("x_n") + F.col("y_n")))
-    # the same for shingles, where the pivots differ
+    # of the elements that two documents share, at most 1 + e - at follow from a place on
+    near = _met(edits.select("item", "doc_id", "component", "n", *_test(7 * F.col("e") - F.col("n"), 14 * (1 + F.col("e") - F.col("at")))), [])
+    # the same for shingles, where the pivots may differ
     places = F.col("n") - F.ceil(F.col("n") * SIMILARITY_PERCENT / 100).cast("int") + 1
-    prefixes = _rarest_first(own, ["doc_id", "component", "pivot", "n"], "n", places)
-    room = 1 + F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
-    far = _joined(prefixes, ["doc_id", "component", "pivot", "n", "at"], []).where("x_pivot <> y_pivot").where(175 * room >= SIMILARITY_PERCENT * (F.col("x_n") + F.col("y_n")))
-    both = [df.select(F.col("x_doc_id").alias("x"), F.col("y_doc_id").alias("y")) for df in (near, far)]
-    return both[0].unionByName(both[1]).distinct()
+    prefixes = _rarest_first(own, ["doc_id", "component", "n"], "n", places)
+    far = _met(prefixes.select("item", "doc_id", "component", "n", *_test(SIMILARITY_PERCENT * F.col("n"), (100 + SIMILARITY_PERCENT) * (1 + F.col("n") - F.col("at")))), [])
+    return near.unionByName(far).distinct()
+
+
+def _test(need: Column, most: Column) -> tuple[Column, Column]:
+    """A pair passes if both places leave as much as both need: min(most) >= need + need, each one's need at most the other's room."""
+    return need.cast("long").alias("need"), (most - need).cast("long").alias("room")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

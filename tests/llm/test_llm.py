@@ -591,6 +591,41 @@ def test_near_duplicates_around_a_base(spark, seed, edits):
     assert got == brute_near(data)
 
 
+def template_pages(n, own=24, seed=1):
+    """Pages of 80 common words and ``own`` of their own: at 24 their similarity is 0.61, so they share tables and have no links."""
+    return [(d, " ".join([f"c{i}" for i in range(80)] + [f"o{d}-{i}" for i in range(own)])) for d in range(n)]
+
+
+def test_pages_of_a_template_meet_nowhere(spark, monkeypatch):
+    """The search beyond the tables forms no pairs of pages that share a template, and still finds the links among them."""
+    from siftwork.llm import near_dedup as op
+
+    formed, met = [], op._met
+
+    def counted(*args):
+        out = op.written(met(*args))
+        formed.append(out.count())
+        return out
+
+    monkeypatch.setattr(op, "_met", counted)
+    data = template_pages(400)
+    w = data[7][1].split()
+    data += [(1000 + k, " ".join([*w[: 60 + 5 * k], "edited", *w[61 + 5 * k :]])) for k in range(5)]
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = keyed(op.near_duplicates(df), "component_id", "kept")
+    assert got == {d: (7, False) if d >= 1000 else (d, True) for d, _ in data}
+    assert sum(formed) <= 20 * len(data)
+
+
+def test_near_duplicates_rows_that_share_an_id(spark):
+    from siftwork.llm import near_dedup as op
+
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    df = spark.createDataFrame([(1, a), (2, a), (2, a), (3, b), (3, a + " x"), (4, b)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in op.near_duplicates(df).collect())
+    assert got == [(1, 56, 1), (2, 56, 1), (2, 56, 1), (3, 56, 1), (3, 57, 1), (4, 56, 1)]
+
+
 # rows without ids
 
 
