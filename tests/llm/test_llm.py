@@ -234,15 +234,33 @@ def test_cascade_is_exact(spark):
     from siftwork.llm import url_filter as op
 
     keys = spark.range(4000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
-    levels = op.cascade(keys)
-    assert len(levels) > 2 and keys.where(op.listed(levels, F.col("key")) != F.col("listed")).count() == 0
-    assert op.cascade(keys, most_bits=64) is None
-    for all_or_none in (True, False):
-        some = keys.withColumn("listed", F.lit(all_or_none))
-        assert some.where(op.listed(op.cascade(some), F.col("key")) != F.lit(all_or_none)).count() == 0
-    pages = spark.createDataFrame([(1, "http://a/x"), (2, "https://b/x")], "page_id long, url string")
-    tight = op.judge(pages, op.hosts_without_https(pages), most_bits=1)  # the other way, a join
-    assert dict(tight.select("page_id", "verdict").collect()) == {1: "block", 2: "allow"}
+    for most_bits in (op.MOST_BITS, 512):  # one part, and several
+        found = op.cascade(keys, most_bits)
+        assert len(found.levels) > 2 and (found.parts > 3) == (most_bits == 512)
+        assert max(level.size for level in found.levels) <= max(2 * most_bits, 64) or most_bits == op.MOST_BITS
+        out = op.with_listed(keys.withColumn("filter_part", F.lit("clash")), "key", found)
+        assert out.count() == 4000 and out.where("in_list <> listed or filter_part <> 'clash'").count() == 0
+        for all_or_none in (True, False):
+            some = keys.withColumn("listed", F.lit(all_or_none))
+            assert op.with_listed(some, "key", op.cascade(some, most_bits)).where("in_list = listed").count() == 4000
+
+
+def op_verdict(rows):
+    safe = {u.split("/")[2] for _, u in rows if u and u.startswith("https")}
+    return ["block" if u and u.split("/")[2] not in safe else "allow" for _, u in rows]
+
+
+def test_url_filter_in_parts(spark):
+    from siftwork.llm import url_filter as op
+
+    rows = [(i, f"http{'s' * (i % 50 < 20)}://h{i % 50}.x/p") for i in range(200)] + [(7, "http://h1.x/p")] * 2 + [(None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash")).withColumn("in_list", F.lit(1)).withColumn("filter_part", F.lit(2))
+    universe = op.hosts_without_https(pages)
+    want = sorted(op.judge(pages, universe).collect(), key=repr)
+    assert sorted(op.judge(pages, universe, most_bits=64).collect(), key=repr) == want and len(want) == 203
+    assert Counter(r["verdict"] for r in want) == Counter(op_verdict(rows))
+    none = pages.limit(0)
+    assert op.judge(none, op.hosts_without_https(none)).count() == 0
 
 
 # 4 FLAC
