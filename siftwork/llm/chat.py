@@ -2,7 +2,12 @@
 
 Conversations that begin with the same turns share the nodes of those turns. A node is a turn after
 a given beginning; its digest is that of its parent, role and text. Every node's tokens are emitted
-once, in depth-first order: sorted by the path of digests, a node stands before all that follow it.
+once, in depth-first order, the child that most conversations go on with first. Children that
+follow their parent so make paths, which lie end to end in the stream; a node that isn't its
+parent's first child begins a path of its own. As each such step at least halves the number of
+conversations, a node has at most log2(conversations) + 1 paths above it, whatever its depth: its place
+in the order is a key of that many parts, and the tokens that its own attend to are that many intervals.
+
 The order is a range-partitioned sort and the offsets are sums over its parts, so a first turn that
 a third of all conversations share is no group in one task. With each node go its place in the
 stream, the position of its first token in its conversations, and the stream intervals of its
@@ -59,32 +64,53 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Node, parent and path of each turn; rows come sorted by conversation and turn, none is held back."""
-    conv, started, node, path, depth = None, False, b"", b"", 0
+    """Node and parent of each turn; rows come sorted by conversation and turn, none is held back."""
+    conv, started, node, depth = None, False, b"", 0
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("conv_id", "depth", "node", "parent", "path", "role", "text")}
+        out: dict[str, list] = {k: [] for k in ("conv_id", "depth", "node", "parent", "role", "text")}
         for c, role, text in zip(batch.column("conv_id").to_pylist(), batch.column("role").to_pylist(), batch.column("text").to_pylist(), strict=True):
             if not started or c != conv:
-                conv, started, node, path, depth = c, True, b"", b"", 0
+                conv, started, node, depth = c, True, b"", 0
             parent = node
             r, t = role.encode(), text.encode()
             node = hashlib.blake2b(parent + len(r).to_bytes(8, "big") + r + t, digest_size=16).digest()
-            path += node
-            for k, v in zip(out, (c, depth, node, parent, path, role, text), strict=True):
+            for k, v in zip(out, (c, depth, node, parent, role, text), strict=True):
                 out[k].append(v)
             depth += 1
-        yield pa.RecordBatch.from_arrays([pa.array(out["conv_id"], pa.int64()), pa.array(out["depth"], pa.int32()), *(pa.array(out[k], pa.binary()) for k in ("node", "parent", "path")), pa.array(out["role"], pa.string()), pa.array(out["text"], pa.string())], names=list(out))
+        yield pa.RecordBatch.from_arrays([pa.array(out["conv_id"], pa.int64()), pa.array(out["depth"], pa.int32()), *(pa.array(out[k], pa.binary()) for k in ("node", "parent")), pa.array(out["role"], pa.string()), pa.array(out["text"], pa.string())], names=list(out))
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Key and path of each turn's node, and for a path's first node the nodes at which the paths above it are left.
+
+    A path's nodes are sorted before the paths that leave it, and of those the one that leaves it deepest comes first.
+    """
+    conv, started, prefix, top, node, above = None, False, b"", b"", b"", []
+    for batch in batches:
+        keys, tops, lefts = [], [], []
+        for c, depth, this, first in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "depth", "node", "is_first")), strict=True):
+            if not started or c != conv:
+                conv, started, prefix, above = c, True, b"", []
+            if depth == 0 or not first:
+                if depth:
+                    above = [*above, node]
+                    prefix += b"\1" + (2**32 - depth).to_bytes(4, "big")
+                prefix, top = prefix + this, this
+            keys.append(prefix + b"\0" + depth.to_bytes(4, "big"))
+            tops.append(top)
+            lefts.append(above if this == top else [])
+            node = this
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(keys, pa.binary()), pa.array(tops, pa.binary()), pa.array(lefts, pa.list_(pa.binary()))], names=["node", "key", "top", "above"])
 
 
 def _tokenize(path_: str, learned: str):
-    """Tokens and loss spans of each node, its offset within its part of the order, the spans of its ancestors there and how many lie before."""
+    """Tokens and loss spans of each node, and its offset within its part of the order."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
         import regex
 
         vocab, split, ids_of, at = vocabulary(path_), regex.compile(public_tokenizers.PATTERN), {}, 0
-        above: list[tuple[bytes, int, int]] = []  # the ancestors of the row that lie in this part: path, begin, end
 
         def ids(text: str) -> list[int]:
             out: list[int] = []
@@ -97,32 +123,26 @@ def _tokenize(path_: str, learned: str):
             return out
 
         for batch in batches:
-            tokens, begin, end, start, outside, inside = [], [], [], [], [], []
-            for place, depth, role, text in zip(*(batch.column(c).to_pylist() for c in ("path", "depth", "role", "text")), strict=True):
+            tokens, begin, end, start = [], [], [], []
+            for role, text in zip(*(batch.column(c).to_pylist() for c in ("role", "text")), strict=True):
                 head, body, tail = ids(f"{OPEN}{escape(role, True)}: "), ids(escape(text)), ids(f"{CLOSE}\n")
                 tokens.append(head + body + tail)
                 begin.append(len(head))
                 end.append(len(head) + len(body) if role == learned else len(head))
                 start.append(at)
-                while above and not place.startswith(above[-1][0]):
-                    above.pop()
-                outside.append(depth - len(above))
-                above.append((place, at, at + len(tokens[-1])))
-                inside.append([{"begin": a, "end": b} for _, a, b in above])
                 at += len(tokens[-1])
             keep = [c for c in batch.schema.names if c not in ("role", "text")]
-            span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(tokens, pa.list_(pa.int32())), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(start, pa.int64()), pa.array(outside, pa.int32()), pa.array(inside, span)], names=[*keep, "tokens", "loss_begin", "loss_end", "start", "outside", "inside"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(tokens, pa.list_(pa.int32())), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(start, pa.int64())], names=[*keep, "tokens", "loss_begin", "loss_end", "start"])
 
     return scan
 
 
 def turns(conversations: DataFrame) -> DataFrame:
-    """conv_id, depth, node, parent, path, role, text of each turn."""
+    """conv_id, depth, node, parent, role, text of each turn."""
     empty = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", empty("role"), empty("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return written(ordered.mapInArrow(_chain, "conv_id long, depth int, node binary, parent binary, path binary, role string, text string"))
+    return written(ordered.mapInArrow(_chain, "conv_id long, depth int, node binary, parent binary, role string, text string"))
 
 
 def prefix_tree(each_turn: DataFrame, vocabulary_file: str, learned: str = "assistant") -> DataFrame:
@@ -130,29 +150,33 @@ def prefix_tree(each_turn: DataFrame, vocabulary_file: str, learned: str = "assi
 
     ``start`` is the place of the node's first token in the stream, ``position`` its place in every
     conversation through it; loss_begin and loss_end are tokens of the node; ``intervals`` are
-    the [begin, end) of its ancestors, from the root on, and of itself.
+    [begin, end) of the paths that lead to it, from the root on, the last one up to and with itself.
     """
     spark = each_turn.sparkSession
-    nodes = each_turn.groupBy("node").agg(*(F.first(c).alias(c) for c in ("parent", "depth", "path", "role", "text")))
-    # the same number of parts as a shuffle, dealt by path: siblings under a hot beginning spread over parts
+    nodes = written(each_turn.groupBy("node").agg(*(F.first(c).alias(c) for c in ("parent", "depth", "role", "text")), F.count("*").alias("n")))
+    first = nodes.groupBy("parent").agg(F.max(F.struct("n", "node"))["node"].alias("node")).select("node", F.lit(True).alias("is_first"))
+    steps = each_turn.select("conv_id", "depth", "node").join(written(first), "node", "left").select("conv_id", "depth", "node", F.coalesce("is_first", F.lit(False)).alias("is_first"))
+    walked = steps.repartition("conv_id").sortWithinPartitions("conv_id", "depth").mapInArrow(_keys, "node binary, key binary, top binary, above array<binary>")
+    placed = nodes.join(walked.groupBy("node").agg(*(F.first(c).alias(c) for c in ("key", "top", "above"))), "node")
+    # as many parts as a shuffle has, dealt by key: what follows a hot beginning spreads over parts
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = written(nodes).repartitionByRange(parts, "path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id())
-    kind = "node binary, parent binary, depth int, path binary, part int, tokens array<int>, loss_begin int, loss_end int, start long, outside int, inside array<struct<begin:long,end:long>>"
-    emitted = written(ordered.select("node", "parent", "depth", "path", "part", "role", "text").mapInArrow(_tokenize(vocabulary_file, learned), kind))
+    ordered = written(placed).repartitionByRange(parts, "key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id())
+    kind = "node binary, parent binary, depth int, top binary, above array<binary>, part int, tokens array<int>, loss_begin int, loss_end int, start long"
+    emitted = written(ordered.select("node", "parent", "depth", "top", "above", "part", "role", "text").mapInArrow(_tokenize(vocabulary_file, learned), kind))
     sizes = emitted.groupBy("part").agg(F.sum(F.size("tokens")).alias("n"))  # one row for each part
     running = written(sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base")))
-    # ancestors before a part are ancestors of its first row: as many rows as parts, times their depth
-    firsts = emitted.where("start = 0 and outside > 0").select(F.col("part").alias("of"), F.explode(F.transform(F.sequence(F.lit(1), F.col("outside")), lambda d: F.expr("path").substr((d - 1) * 16 + 1, F.lit(16)))).alias("node"))
-    held = emitted.select("node", "part", "depth", "start", F.size("tokens").alias("n")).join(F.broadcast(firsts), "node").join(F.broadcast(running), "part")
-    begin = F.col("start") + F.col("base")
-    before = held.groupBy(F.col("of").alias("part")).agg(F.sort_array(F.collect_list(F.struct("depth", begin.alias("begin"), (begin + F.col("n")).alias("end")))).alias("s"))
-    chains = before.select("part", F.transform("s", lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"))).alias("chain"))
-    placed = emitted.join(F.broadcast(running), "part").join(F.broadcast(chains), "part", "left")
-    here = F.transform("inside", lambda x: F.struct((x["begin"] + F.col("base")).alias("begin"), (x["end"] + F.col("base")).alias("end")))
-    intervals = F.when(F.col("outside") > 0, F.concat(F.slice("chain", 1, F.col("outside")), here)).otherwise(here)
+    stream = emitted.join(F.broadcast(running), "part").withColumn("n_tokens", F.size("tokens")).withColumn("begin", F.col("start") + F.col("base"))
+    tops = stream.where("node = top").select("top", F.col("begin").alias("path_begin"))
+    spans = written(stream.select("node", "top", (F.col("begin") + F.col("n_tokens")).alias("end")).join(tops, "top").select("node", F.col("path_begin").alias("begin"), "end"))
+    left_at = emitted.where("node = top").select("top", F.posexplode("above").alias("i", "node"))
+    before = left_at.join(spans, "node").groupBy("top").agg(F.sort_array(F.collect_list(F.struct("i", "begin", "end"))).alias("s"))
+    chains = before.select("top", F.transform("s", lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"))).alias("chain"))
+    paths = tops.join(chains, "top", "left")
+    none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
+    own = F.array(F.struct(F.col("path_begin").alias("begin"), (F.col("begin") + F.col("n_tokens")).alias("end")))
+    done = stream.join(written(paths), "top").withColumn("intervals", F.concat(F.coalesce("chain", none), own))
     length = F.aggregate("intervals", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["begin"])
-    done = placed.withColumn("n_tokens", F.size("tokens")).withColumn("intervals", intervals)
-    return done.select("node", "parent", "depth", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "tokens", "loss_begin", "loss_end", (length - F.col("n_tokens")).alias("position"), "intervals")
+    return done.select("node", "parent", "depth", F.col("begin").alias("start"), "n_tokens", "tokens", "loss_begin", "loss_end", (length - F.col("n_tokens")).alias("position"), "intervals")
 
 
 def _read(path_: str):

@@ -2,6 +2,7 @@
 column, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -427,13 +428,54 @@ def test_chat_tree(spark):
         assert got[c] == (len(turns), sha("".join(f"{r or ''}\n{x or ''}\n" for _, r, x in turns).encode()), len(loss), sha(loss.encode()), formatted)
     nodes = tree.orderBy("start").collect()
     assert len(nodes) == len({tuple((r, x or "") for _, r, x in turns[: i + 1]) for turns in talks.values() for i in range(len(turns))})
-    at, ends = 0, {}
-    for r in nodes:  # end to end, parents before children, intervals of all ancestors
-        assert r["start"] == at
-        at += r["n_tokens"]
-        ends[bytes(r["node"])] = [tuple(i) for i in r["intervals"]]
-        assert ends[bytes(r["node"])][:-1] == ends.get(bytes(r["parent"]), []) and r["position"] == sum(b - a for a, b in ends[bytes(r["node"])][:-1])
+    tree_is_right(nodes, len(talks))
     assert op.turns(df.limit(0)).count() == 0 and op.prefix_tree(op.turns(df.limit(0)), path).count() == 0
+    more = df.withColumn("node", F.lit("clash")).withColumn("key", F.lit(1)).withColumn("top", F.lit(2))
+    assert op.turns(more).columns == each.columns and op.prefix_tree(op.turns(more), path).count() == len(nodes)
+
+
+def tree_is_right(nodes, n_talks):
+    """End to end, parents before children, subtrees in one piece, and the intervals of all ancestors and no others."""
+    at, span, parent = 0, {}, {}
+    for r in nodes:
+        assert r["start"] == at and (bytes(r["parent"]) in span or r["depth"] == 0)
+        at += r["n_tokens"]
+        span[bytes(r["node"])], parent[bytes(r["node"])] = (r["start"], at), bytes(r["parent"])
+    for r in nodes[:: max(1, len(nodes) // 2000)]:
+        above, n = [], bytes(r["node"])
+        while n in span:
+            above.append(span[n])
+            n = parent[n]
+        merged = []
+        for a, b in reversed(above):
+            if merged and merged[-1][1] == a:
+                merged[-1][1] = b
+            else:
+                merged.append([a, b])
+        assert [list(i) for i in r["intervals"]] == merged and len(merged) <= 1 + math.log2(n_talks)
+        assert r["position"] == sum(b - a for a, b in above[1:])
+    stack = []
+    for r in nodes:  # depth first
+        while stack and stack[-1] != bytes(r["parent"]):
+            stack.pop()
+        assert stack or r["depth"] == 0
+        stack.append(bytes(r["node"]))
+
+
+def test_chat_deep_conversations(spark):
+    """20,000 turns, and others that leave them at many depths: keys and intervals stay short."""
+    from siftwork.llm import chat as op
+
+    deep = [("user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(20_000)]
+    talks = {0: deep, **{k: [*deep[: k * 97], ("user", f"leaves {k}"), ("assistant", "bye")] for k in range(1, 40)}, 50: [*deep[:485], ("user", "leaves 5"), ("assistant", "no")]}
+    df = spark.createDataFrame([(c, t, r, x) for c, turns in talks.items() for t, (r, x) in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    each, path = op.turns(df), op.vocabulary_path()
+    tree = op.written(op.prefix_tree(each, path))
+    nodes = tree.drop("tokens").orderBy("start").collect()
+    assert len(nodes) == 20_000 + 39 * 2 + 1
+    tree_is_right(nodes, len(talks))
+    got = {r["conv_id"]: r["turns_sha256"] for r in op.read_back(each, tree, path).collect()}
+    assert got == {c: sha("".join(f"{r}\n{x}\n" for r, x in turns).encode()) for c, turns in talks.items()}
 
 
 def test_chat_escapes():
