@@ -46,12 +46,14 @@ RULES = (
     Rule("long_words", "mean_word_chars", "<=", 20),
     Rule("symbols", "symbol_ratio", "<=", 0.2),
     Rule("repeated_lines", "dup_line_ratio", "<=", 0.5),
-    Rule("no_stop_words", "stop_ratio", ">", 0.0),
+    Rule("bullets", "bullet_line_ratio", "<=", 0.9),
+    Rule("cut_lines", "cut_line_ratio", "<=", 0.3),
     Rule("few_stop_words", "stop_ratio", ">=", 0.02),
 )
 
-#: The table of the query's SQL, which asks for one stop word only and rejects texts beyond a length.
-SQL_RULES = (RULES[0], Rule("many_words", "n_words", "<=", 1_000_000), *RULES[1:-1])
+#: Lines of a list, and lines that end in an ellipsis.
+BULLET = r"\A[\x20\x09-\x0D]*[-*\u2022\u2023\u25E6\u00B7]"
+CUT = r"(?:\.\.\.|\u2026)[\x20\x09-\x0D]*\z"
 
 _COMPARE = {
     ">=": lambda a, b: a >= b,
@@ -88,17 +90,22 @@ def covered_by_repeats(found: Column) -> Column:
     return let(found, of).cast("long")
 
 
+LINE_COUNTS = ("n_lines", "n_dup_lines", "n_bullet_lines", "n_cut_lines")
+
+
 def measures(text: Column) -> dict[str, Column]:
-    """Counts of a text, each as long."""
+    """Counts of a text, each as long; ``lines`` is a struct of ``LINE_COUNTS``."""
     gaps = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(gaps, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    duplicates = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    like = lambda x, rule: F.size(F.filter(x, lambda line: line.rlike(rule)))
+    duplicates = lambda x: F.size(x) - F.size(F.array_distinct(x))
+    of_lines = let(lines, lambda x: F.struct(*(n.cast("long").alias(c) for c, n in zip(LINE_COUNTS, (F.size(x), duplicates(x), like(x, BULLET), like(x, CUT)), strict=True))))
     stop = r"(?i)(?<![^\x20\x09-\x0D])(?:" + "|".join(STOP_WORDS) + r")(?![^\x20\x09-\x0D.,;:!?])"
     return {
         "n_words": word_count(text),
         "word_chars": F.length(F.regexp_replace(gaps, WORD_GAP, "")).cast("long"),
         "n_symbols": F.length(F.regexp_replace(gaps, r"[^#*$%&|<>]+", "")).cast("long"),
-        "_lines": duplicates,
+        "lines": of_lines,
         "n_repeat_words": covered_by_repeats(F.filter(F.split(gaps, WORD_GAP, -1), lambda w: w != "")),
         "n_stop_words": F.regexp_count(gaps, F.lit(stop)).cast("long"),
     }
@@ -110,6 +117,8 @@ RATIOS = {
     "mean_word_chars": ("word_chars", "n_words"),
     "symbol_ratio": ("n_symbols", "n_words"),
     "dup_line_ratio": ("n_dup_lines", "n_lines"),
+    "bullet_line_ratio": ("n_bullet_lines", "n_lines"),
+    "cut_line_ratio": ("n_cut_lines", "n_lines"),
     "stop_ratio": ("n_stop_words", "n_words"),
 }
 
@@ -128,23 +137,22 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """``docs`` with the counts, ``base_failed``, ``kept`` and ``failed``."""
-    prefix = "__quality_"
+    own = "quality_"
+    while any(c.startswith(own) for c in docs.columns):
+        own = "_" + own
     found = measures(F.col(f"`{text}`"))
-    counted = docs.withColumns({prefix + k: v for k, v in found.items()})
-    counted = counted.withColumns({prefix + "n_lines": F.col(prefix + "_lines")["n_lines"], prefix + "n_dup_lines": F.col(prefix + "_lines")["n_dup_lines"]})
-    of = {k: F.col(prefix + k) for k in (*COUNTS, "n_lines", "n_stop_words")}
+    counted = docs.withColumns({own + k: v for k, v in found.items()})
+    of = {k: F.col(own + k) for k in found if k != "lines"} | {k: F.col(own + "lines")[k] for k in LINE_COUNTS}
     of |= {k: F.coalesce(F.try_divide(of[a].cast("double"), of[b].cast("double")), F.lit(0.0)) for k, (a, b) in RATIOS.items()}
     kept, failed = compile_rules(rules, of)
     base_failed = (of["n_words"] < 50) | (100 * of["n_repeat_words"] > 50 * of["n_words"])
     out = counted.withColumns({k: of[k] for k in COUNTS} | {"base_failed": base_failed, "kept": kept & ~base_failed, "failed": failed})
-    return out.drop(*(c for c in out.columns if c.startswith(prefix)))
+    return out.drop(*(own + k for k in found))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``failed`` names rules of ``SQL_RULES`` only: a text that has nothing against it but a low share of stop words is not kept, with no name."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    named = F.array_join(F.array_remove("failed", "few_stop_words"), ",").alias("failed")
-    return score(docs).select("doc_id", *COUNTS, "base_failed", "kept", named)
+    return score(docs).select("doc_id", *COUNTS, "base_failed", "kept", F.array_join("failed", ",").alias("failed"))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from siftwork.llm.quality import SQL_RULES, STOP_WORDS
+import re
+
+from siftwork.llm.quality import BULLET, CUT, RATIOS, RULES, STOP_WORDS
 
 ORACLES: dict[str, str] = {}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-_OF = {"symbol_ratio": "n_symbols / n_words", "repeat_ratio": "n_repeat_words / n_words", "mean_word_chars": "word_chars / n_words", "dup_line_ratio": "n_dup_lines / n_lines", "stop_ratio": "has_stop_word", "n_words": "n_words"}
-_FAILS = ",\n    ".join(f"CASE WHEN NOT (coalesce({_OF[r.measure]}, 0) {r.keep} {r.threshold}) THEN '{r.name}' END" for r in SQL_RULES)
-_STOP = r"(?i)(?:^|[\x20\x09-\x0D])(?:" + "|".join(STOP_WORDS) + r")(?:$|[\x20\x09-\x0D.,;:!?])"
+_OF = {k: f"CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0 END" for k, (a, b) in RATIOS.items()} | {"n_words": "n_words"}
+_FAILS = ",\n    ".join(f"CASE WHEN NOT ({_OF[r.measure]} {r.keep} {r.threshold}) THEN '{r.name}' END" for r in RULES)
+_STOP = r"\A(?:" + "|".join(STOP_WORDS) + r")(?:\z|[.,;:!?])"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_RE2 = lambda rule: re.sub(r"\\u([0-9A-F]{4})", r"\\x{\1}", rule)
 
 ORACLES["op8_quality_rules"] = rf"""
 WITH d AS (
@@ -28,8 +32,10 @@ WITH d AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '{_RE2(BULLET)}'))) AS n_bullet_lines,
+    len(list_filter(lines, lambda x: regexp_matches(x, '{_RE2(CUT)}'))) AS n_cut_lines,
     coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-    CASE WHEN regexp_matches(text, '{_STOP}') THEN 1 ELSE 0 END AS has_stop_word
+    len(list_filter(w, lambda x: regexp_matches({_LOWER.format("x")}, '{_STOP}'))) AS n_stop_words
   FROM d LEFT JOIN covered USING (doc_id)
 ), f AS (
   SELECT *, list_filter([{_FAILS}], lambda x: x IS NOT NULL) AS failures FROM m
