@@ -2,41 +2,35 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-
-def materialized(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir`` (else the warehouse folder) and read back: cuts the lineage."""
-    spark: SparkSession = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/siftwork-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from siftwork.sources.shared import materialized, scratch
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 200) -> DataFrame:
     """(id, component) for every vertex of ``edges``; component is the least id that can be reached.
 
-    Each round replaces every edge by edges to the least neighbour (map-side combined, so that a
-    hub costs one row for each map task) and then jumps labels over labels, which halves long
-    chains. Every round is written to shared storage, so a lost executor costs one round at most.
-    Nothing is collected but one count for each round.
+    Each round takes the least label among a vertex and its neighbours (map-side combined, so that a
+    hub costs one row for each map task), moves what has that label's owner as label along, and then
+    jumps labels over labels, which halves long chains. A round is one job; it is written to shared
+    storage, so a lost executor costs one round at most, and counts its moves while it is written.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
-    both = materialized(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = materialized(both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("l")))
-    for _ in range(max_rounds):
-        seen = both.join(label.select(F.col("a").alias("b"), F.col("l").alias("n")), "b").groupBy("a").agg(F.min("n").alias("n"))
-        hooked = label.join(seen, "a").select("a", F.col("l").alias("was"), F.least("l", "n").alias("l"))
-        # what a root's members have seen moves the root itself
-        lowered = hooked.where("l < was").groupBy(F.col("was").alias("a")).agg(F.min("l").alias("low"))
-        moved = materialized(hooked.join(lowered, "a", "left").select("a", "was", F.least("l", F.coalesce("low", "l")).alias("l")))
-        jump = moved.select(F.col("a").alias("l"), F.col("l").alias("far"))
-        after = materialized(moved.join(jump, "l", "left").select("a", "was", F.least("l", F.coalesce("far", "l")).alias("l")))
-        label = after.select("a", "l")
-        if after.where("l <> was").limit(1).count() == 0:
-            return label.select(F.col("a").alias("id"), F.col("l").alias("component"))
+    with scratch(edges.sparkSession) as keep:
+        both = materialized(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+        label = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("l"))
+        label = materialized(label)
+        for _ in range(max_rounds):
+            seen = both.join(label.select(F.col("a").alias("b"), F.col("l").alias("n")), "b").groupBy("a").agg(F.min("n").alias("n"))
+            hooked = label.join(seen, "a").select("a", F.col("l").alias("was"), F.least("l", "n").alias("l"))
+            # what a root's members have seen moves the root itself
+            lowered = hooked.where("l < was").groupBy(F.col("was").alias("a")).agg(F.min("l").alias("low"))
+            moved = hooked.join(lowered, "a", "left").select("a", "was", F.least("l", F.coalesce("low", "l")).alias("l"))
+            jump = label.select(F.col("a").alias("l"), F.col("l").alias("far"))
+            after = moved.join(jump, "l", "left").select("a", "was", F.least("l", F.coalesce("far", "l")).alias("l"))
+            moves = Observation()
+            label = materialized(after.observe(moves, F.count_if(F.col("l") != F.col("was")).alias("n")).select("a", "l"))
+            if not moves.get["n"]:
+                return keep(label.select(F.col("a").alias("id"), F.col("l").alias("component")))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

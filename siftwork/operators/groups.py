@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.functions.exprs import group_id, hamming, hash_halves
-from siftwork.operators.graph import connected_components, materialized
+from siftwork.functions.exprs import group_id, hash_halves
+from siftwork.operators.graph import connected_components
+from siftwork.sources.shared import materialized, scratch
 
 
 def equal_value_links(manifest: DataFrame, column: str, key: str = "sample_id", fold_case: bool = False) -> DataFrame:
@@ -17,25 +21,45 @@ def equal_value_links(manifest: DataFrame, column: str, key: str = "sample_id",
     return rows.join(least, "v").where("x <> y").select("x", "y")
 
 
+#: Most keys for each hash: more agreeing bands make fewer candidates, but more keys.
+MOST_KEYS = 84
+
+
+def band_masks(radius: int) -> list[int]:
+    """Masks over 64 bits such that hashes within ``radius`` bits agree on all bits of one mask at least.
+
+    Of radius + c bands, differing bits touch ``radius`` at most, so some c agree: a mask for each choice of c.
+    """
+    c = max((c for c in range(1, min(radius, 64 - radius) + 1) if math.comb(radius + c, c) <= MOST_KEYS), default=1)
+    n = radius + c
+    edges = [64 * i // n for i in range(n + 1)]
+    bands = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(chosen) for chosen in combinations(bands, c)]
+
+
 def hash_pairs(manifest: DataFrame, radius: int, column: str = "perceptual_hash") -> DataFrame:
-    """a, b (a < b), distance: distinct hashes within ``radius`` bits.
+    """a, b (a < b), distance: distinct hashes of 16 hex digits within ``radius`` bits.
 
-    Cut into radius + 1 bands, two hashes within the radius agree on one band at least, so an
-    equality join on (band, bits) finds them all. Equal hashes are one value here, so a frequent
-    hash costs one row for each band.
+    An equality join on (mask, bits under it) finds them all; at radius 4 a mask has 32 bits, so
+    that candidates don't grow with the square of the hashes until there are billions. Equal hashes are
+    one value here, so a frequent hash costs one row for each mask.
     """
     if not 0 <= radius <= 63:
         raise ValueError("radius must be from 0 to 63")
-    hashes = manifest.select(F.lower(F.col(column)).alias("h")).where("h is not null and h <> ''").distinct()
+    name = F.lower(F.col(column))
+    hashes = manifest.select(name.alias("h")).where(r"h rlike '\\A[0-9a-f]{16}\\z'").distinct()
     hi, lo = hash_halves(F.col("h"))
-    bits = F.concat(F.lpad(F.bin(hi), 32, "0"), F.lpad(F.bin(lo), 32, "0"))
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
-    bands = F.array(*(F.struct(F.lit(i).alias("band"), F.substring(F.col("bits"), a + 1, b - a).alias("part")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
-    rows = hashes.select("h", hi.alias("hi"), lo.alias("lo"), bits.alias("bits")).select("h", "hi", "lo", F.explode(bands).alias("k")).select("h", "hi", "lo", "k.*")
-    left = rows.select("band", "part", F.col("h").alias("a"), F.col("hi").alias("a_hi"), F.col("lo").alias("a_lo"))
-    right = rows.select("band", "part", F.col("h").alias("b"), F.col("hi").alias("b_hi"), F.col("lo").alias("b_lo"))
-    distance = hamming((F.col("a_hi"), F.col("a_lo")), (F.col("b_hi"), F.col("b_lo")))
-    return left.join(right, ["band", "part"]).where("a < b").withColumn("distance", distance.cast("int")).where(F.col("distance") <= radius).select("a", "b", "distance").distinct()
+    bits = materialized(hashes.select((F.shiftleft(hi, 32).bitwiseOR(lo)).alias("bits")))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    masks = F.array(*(F.lit(signed(m)).cast("long") for m in band_masks(radius)))
+    rows = bits.select("bits", F.posexplode(masks).alias("i", "mask")).select("i", F.col("bits").bitwiseAND(F.col("mask")).alias("part"), "bits")
+    left, right = (rows.select("i", "part", F.col("bits").alias(c)) for c in ("x", "y"))
+    # unsigned order, which is that of the digits
+    unsigned = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+    distance = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("int")
+    near = left.join(right, ["i", "part"]).where(unsigned("x") < unsigned("y")).where(distance <= radius).select("x", "y", distance.alias("distance")).distinct()
+    digits = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    return near.select(digits("x").alias("a"), digits("y").alias("b"), "distance")
 
 
 def duplicate_links(manifest: DataFrame, radius: int = 4) -> DataFrame:
@@ -49,6 +73,8 @@ def duplicate_links(manifest: DataFrame, radius: int = 4) -> DataFrame:
 
 def split_groups(manifest: DataFrame, radius: int = 4) -> DataFrame:
     """``manifest`` with split_group_id, from the least sample_id of each group."""
-    found = connected_components(duplicate_links(manifest, radius), "x", "y").select(F.col("id").alias("__id"), "component")
+    with scratch(manifest.sparkSession) as keep:
+        keys = materialized(manifest.select("sample_id", "source_group_id", "content_checksum", "perceptual_hash"))
+        found = keep(connected_components(duplicate_links(keys, radius), "x", "y").select(F.col("id").alias("__id"), "component"))
     joined = manifest.join(found, F.col("sample_id") == F.col("__id"), "left")
     return joined.withColumn("split_group_id", group_id(F.coalesce("component", "sample_id"))).drop("__id", "component")

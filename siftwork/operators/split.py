@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from siftwork.errors import DataIntegrityError, LeakageError
 from siftwork.functions.exprs import half_up_count
 from siftwork.operators import checks
-from siftwork.operators.graph import materialized
+from siftwork.sources.shared import materialized
 
 
 @dataclass(frozen=True)

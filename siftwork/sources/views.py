@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.functions.exprs import sigmoid
+from siftwork.functions.exprs import let, sigmoid
 from siftwork.sources.registry import CONDITIONS, STRESS, conditions
 
 
@@ -20,20 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shape_hash(text: Column) -> Column:
     """A 64-bit average hash of a text as 16 hex digits: a bit for each of 64 equal segments, set if it has its share of the letter e."""
-    n = F.length(text)
-    total = n - F.length(F.replace(text, F.lit("e"), F.lit("")))
-    width = F.greatest(F.lit(1), F.ceil(n / 64.0).cast("int"))
+    width = F.greatest(F.lit(1), F.ceil(F.length(text) / 64.0).cast("int"))
+    # one pass over the text; each value is bound once, as a lambda computes anew what it closes over
+    segments = F.regexp_extract_all(text, F.concat(F.lit("(?s).{1,"), width.cast("string"), F.lit("}")), F.lit(0))
+    letters = lambda s: F.coalesce(F.length(s) - F.length(F.replace(s, F.lit("e"), F.lit(""))), F.lit(0))
+    counts = let(segments, lambda s: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: letters(F.get(s, i))))
 
-    def half(first: int) -> Column:
-        def bit(i: Column) -> Column:
-            segment = text.substr((i * width + 1).cast("int"), width)
-            count = F.length(segment) - F.length(F.replace(segment, F.lit("e"), F.lit("")))
-            return F.when(count * 64 >= total, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    def digits(c: Column) -> Column:
+        def of(total: Column) -> Column:
+            half = lambda first: F.aggregate(F.slice(c, first, 32), F.lit(0).cast("long"), lambda a, x: a * 2 + F.when(x * 64 >= total, 1).otherwise(0))
+            return F.concat(*(F.lpad(F.lower(F.hex(half(first))), 8, "0") for first in (1, 33)))
 
-        word = F.aggregate(F.sequence(F.lit(first), F.lit(first + 31)), F.lit(0).cast("long"), lambda a, i: a * 2 + bit(i))
-        return F.lpad(F.lower(F.hex(word)), 8, "0")
+        return let(F.aggregate(c, F.lit(0), lambda a, x: a + x), of)
 
-    return F.concat(half(0), half(32))
+    return F.when(text.isNull(), F.lit("0" * 16)).otherwise(let(counts, digits))
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,7 +84,7 @@ def test_mixed_chain_is_one_group(spark):
     assert [got[i] for i in "abcd"] == [first] * 4 and got["e"] != first
 
 
-@pytest.mark.parametrize("radius", [0, 1, 2, 4])
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 4, 6, 8])
 def test_radius_join_equals_brute_force(spark, radius):
     rng = random.Random(radius)
     values = [0, 1, 3, 0xF, 0xFF, 1 << 63, 3 << 62, 2**64 - 1]
@@ -100,6 +100,17 @@ def test_radius_join_equals_brute_force(spark, radius):
     assert got == [w for w in want if w[2] <= radius]
 
 
+def test_masks_hold_all_pairs_within_the_radius():
+    rng = random.Random(3)
+    for radius in (0, 1, 2, 4, 8, 20, 63):
+        masks = groups.band_masks(radius)
+        assert len(masks) <= groups.MOST_KEYS and all(0 < m < 1 << 64 for m in masks)
+        for _ in range(200):
+            moved = sum(1 << i for i in rng.sample(range(64), radius))
+            assert any(moved & m == 0 for m in masks)
+    assert len(groups.band_masks(4)) == 70 and all(m.bit_count() == 32 for m in groups.band_masks(4))
+
+
 def families(spark, sizes, real=60):
     data = [sample(f"{f}:{i:03d}", generator_family=f) for f, n in sizes.items() for i in range(n)]
     data += [sample(f"real:{i:03d}", label=0, generator_family="authentic") for i in range(real)]
