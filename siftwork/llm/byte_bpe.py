@@ -254,7 +254,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", offsets: bool = False
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
-    """``encoded`` with decoded, the bytes of each row's ids. Ids without a token have no bytes."""
+    """``encoded`` with decoded, the bytes of each row's ids. Null ids and ids without a token have no bytes."""
     kind = T.StructType([f for f in encoded.schema if f.name != "decoded"]).add("decoded", T.BinaryType())
     names = [c for c in encoded.columns if c != "decoded"]
 
@@ -264,9 +264,12 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 column = part.column(ids)
-                flat = column.flatten().to_numpy(zero_copy_only=False)
-                flat = np.where((flat >= 0) & (flat < len(vocab.token_ends)), flat, 0) if len(flat) and (flat.min() < 0 or flat.max() >= len(vocab.token_ends)) else flat
+                flat = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
                 size = column.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+                known = (flat >= 0) & (flat < len(vocab.token_ends))
+                if not known.all():
+                    row = np.repeat(np.arange(len(size)), size)[known]
+                    flat, size = flat[known], np.bincount(row, minlength=len(size))
                 body, stop = vocab.bytes_of(flat)
                 upto = np.concatenate([[0], stop])[np.concatenate([[0], np.cumsum(size)])]
                 out = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(upto.astype(np.int64).tobytes()), pa.py_buffer(body.tobytes())]).cast(pa.binary())

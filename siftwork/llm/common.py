@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwork.functions.exprs import let
+from siftwork.sources.shared import clear, scratch, shared_folder
+from siftwork.sources.shared import materialized as written
+
+__all__ = ["WORD_GAP", "clear", "let", "lower_ascii", "scratch", "shared_folder", "table", "word_count", "words", "written"]
+
 #: The characters between words: space and the controls tab to carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -18,14 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once per row, however often the body refers to it.
-
-    A lambda re-evaluates whatever it closes over for each element; a lambda variable is bound once.
-    """
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def lower_ascii(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, _UPPER, _LOWER)
@@ -43,32 +38,3 @@ def word_count(text: Column) -> Column:
     n = parts - blank(r"\A[\x20\x09-\x0D]") - blank(r"[\x20\x09-\x0D]\z")
     only_gaps = text.isNull() | ~text.rlike(r"[^\x20\x09-\x0D]")
     return F.when(only_gaps, F.lit(0)).otherwise(n).cast("long")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where the session has none (single-machine tests), the warehouse folder serves.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder, read back.
-
-    It cuts the lineage at one job, survives the loss of executors, and leaves no
-    partitioning behind, so that a join on it gets exchanges which adaptive execution
-    may split where a key is hot. ``clear`` removes a session's tables.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/siftwork-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Deletes the tables that ``written`` made in this session; frames that read them end."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/siftwork-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

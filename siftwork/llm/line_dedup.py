@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import let, table, written
+from siftwork.llm.common import let, scratch, table, written
 
 LINES = 3
 
@@ -47,12 +47,13 @@ def window_places(docs: DataFrame) -> DataFrame:
 
 def covered_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, version, covered): the lines that a later occurrence of a window covers."""
-    places = written(window_places(docs))
-    place = F.struct("doc_id", "version", "at")
-    first = written(places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"))
-    later = places.join(first, ["h1", "h2"]).where(place > F.col("first"))
-    starts = later.groupBy("doc_id", "version").agg(F.collect_set("at").alias("starts"))
-    return starts.select("doc_id", "version", F.flatten(F.transform("starts", lambda s: F.array(*(s + k for k in range(LINES))))).alias("covered"))
+    with scratch(docs.sparkSession) as keep:
+        places = written(window_places(docs))
+        place = F.struct("doc_id", "version", "at")
+        first = written(places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"))
+        later = places.join(first, ["h1", "h2"]).where(place > F.col("first"))
+        starts = later.groupBy("doc_id", "version").agg(F.collect_set("at").alias("starts"))
+        return keep(starts.select("doc_id", "version", F.flatten(F.transform("starts", lambda s: F.array(*(s + k for k in range(LINES))))).alias("covered")))
 
 
 def _judged(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -98,6 +98,9 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix itself: documents as often as it takes them, those that it doesn't take left out."""
-    copies = mix(docs.select("doc_id", "source", "text")).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies")).distinct()
-    repeated = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return repeated.withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    flat = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    copies = mix(docs.select("doc_id", "source", "text")).where("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies").distinct()
+    repeated = flat.join(copies, F.col(names["doc_id"]).eqNullSafe(F.col("taken_id")))
+    again = repeated.select(*names.values(), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return again.select(*(F.col(n).alias(c) for c, n in names.items()))

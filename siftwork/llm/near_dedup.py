@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.bytescan import Runs, Texts, pieces, spread
-from siftwork.llm.common import table, written
+from siftwork.llm.common import scratch, table, written
 from siftwork.operators.graph import connected_components
 
 SHINGLE, SIMILARITY_PERCENT = 5, 75
@@ -137,15 +137,16 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = written(docs.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, a array<long>, b array<long>"))
     firsts = written(signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("first")))
     distinct = signed.join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
-    members = _members(distinct)
-    centres = written(members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("neg"), "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", (-F.col("c.neg")).alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.weight").alias("centre_weight")))
-    star = members.join(centres, "key").where("doc_id <> centre").where(_could_reach("n", "centre_n"))
-    pairs = written(star.select(F.least("doc_id", "centre").alias("x"), F.greatest("doc_id", "centre").alias("y")).distinct())
-    several = written(members.join(centres, "key", "left_semi"))
-    sets = written(docs.join(several.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items array<long>"))
-    found = written(_verified(pairs, sets))
-    rest = written(_rest(several, centres, connected_components(found, "x", "y"), sets))
-    more = written(_verified(rest.join(pairs, ["x", "y"], "left_anti"), sets))
+    with scratch(docs.sparkSession) as keep:
+        members = _members(distinct)
+        centres = written(members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("neg"), "n")).alias("c"), F.count("*").alias("m")).where("m > 1").select("key", (-F.col("c.neg")).alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.weight").alias("centre_weight")))
+        star = members.join(centres, "key").where("doc_id <> centre").where(_could_reach("n", "centre_n"))
+        pairs = written(star.select(F.least("doc_id", "centre").alias("x"), F.greatest("doc_id", "centre").alias("y")).distinct())
+        several = written(members.join(centres, "key", "left_semi"))
+        sets = written(docs.join(several.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items array<long>"))
+        found = keep(_verified(pairs, sets))
+        rest = written(_rest(several, centres, connected_components(found, "x", "y"), sets))
+        more = keep(_verified(rest.join(pairs, ["x", "y"], "left_anti"), sets))
     copies = signed.join(firsts, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("first")).alias("first"))
     return copies, found.unionByName(more)
 

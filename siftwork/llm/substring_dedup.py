@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm.bytescan import Runs, Texts, pieces, spread, window_starts
-from siftwork.llm.common import table, written
+from siftwork.llm.common import scratch, table, written
 
 WIDTH, GRAM = 20, 7
 
@@ -164,32 +164,34 @@ def _extended(docs: DataFrame, width: int, gram: int) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
     named = docs.where("doc_id is not null")
-    anchors = written(named.mapInArrow(_find_anchors(width, gram), _ANCHORS))
-    seeds = written(anchors.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"))
-    places = anchors.join(seeds, "seed").groupBy("doc_id", "version").agg(F.collect_set("at").alias("at"))
-    digests = named.select("doc_id", "version", F.unhex(F.sha2("text", 256)).alias("digest"))
-    firsts = written(digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
-    copies = digests.join(firsts, "digest").where("doc_id > first").select("doc_id", "version").distinct().withColumn("copied", F.lit(True))
-    joined = docs.join(places, ["doc_id", "version"], "left").join(copies, ["doc_id", "version"], "left")
-    return written(joined.select("doc_id", "version", "text", "at", F.coalesce("copied", F.lit(False)).alias("copied")).mapInArrow(_extend(width, gram), _EXTENDED))
+    with scratch(docs.sparkSession) as keep:
+        anchors = written(named.mapInArrow(_find_anchors(width, gram), _ANCHORS))
+        seeds = written(anchors.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"))
+        places = anchors.join(seeds, "seed").groupBy("doc_id", "version").agg(F.collect_set("at").alias("at"))
+        digests = named.select("doc_id", "version", F.unhex(F.sha2("text", 256)).alias("digest"))
+        firsts = written(digests.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+        copies = digests.join(firsts, "digest").where("doc_id > first").select("doc_id", "version").distinct().withColumn("copied", F.lit(True))
+        joined = docs.join(places, ["doc_id", "version"], "left").join(copies, ["doc_id", "version"], "left")
+        return keep(joined.select("doc_id", "version", "text", "at", F.coalesce("copied", F.lit(False)).alias("copied")).mapInArrow(_extend(width, gram), _EXTENDED))
 
 
 def _repeat_spans(extended: DataFrame, width: int) -> DataFrame:
     """(doc_id, version, begin, end) in words: stretches covered by windows that also start earlier; they may touch."""
     zipped = F.arrays_zip("seeds", "at", "lo", "hi", "run", "windows")
-    places = written(extended.where("seeds is not null").select("doc_id", "version", F.explode(zipped).alias("p")).select("doc_id", "version", F.col("p.seeds").alias("seed"), "p.at", "p.lo", "p.hi", "p.run", "p.windows"))
-    key = ["seed", "run", "lo", "hi"]
-    classes = written(places.groupBy(*key).agg(F.min(F.struct("doc_id", "version", "at", "windows")).alias("first"), F.count("*").alias("n")))
-    firsts = classes.where("n > 1").select(*key, F.struct("first.doc_id", "first.version", "first.at").alias("first"))
-    later = places.drop("windows").join(firsts, key).where(F.struct("doc_id", "version", "at") > F.col("first"))
-    whole = later.select("doc_id", "version", (F.col("at") + F.col("lo")).alias("begin"), (F.col("at") + F.col("hi") + width).alias("end"))
-    several = written(classes.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"))
-    edges = classes.join(several, "seed").select("seed", "lo", "first.doc_id", "first.version", "first.at", "first.windows")
-    windows = written(edges.mapInArrow(_windows, "seed long, window long, doc_id long, version long, start int"))
-    place = F.struct("doc_id", "version", "start")
-    first = written(windows.groupBy("seed", "window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("seed", "window", "first"))
-    repeated = windows.join(first, ["seed", "window"]).where(place > F.col("first"))
-    return whole.unionByName(repeated.select("doc_id", "version", F.col("start").alias("begin"), (F.col("start") + width).alias("end")))
+    with scratch(extended.sparkSession) as keep:
+        places = written(extended.where("seeds is not null").select("doc_id", "version", F.explode(zipped).alias("p")).select("doc_id", "version", F.col("p.seeds").alias("seed"), "p.at", "p.lo", "p.hi", "p.run", "p.windows"))
+        key = ["seed", "run", "lo", "hi"]
+        classes = written(places.groupBy(*key).agg(F.min(F.struct("doc_id", "version", "at", "windows")).alias("first"), F.count("*").alias("n")))
+        firsts = classes.where("n > 1").select(*key, F.struct("first.doc_id", "first.version", "first.at").alias("first"))
+        later = places.drop("windows").join(firsts, key).where(F.struct("doc_id", "version", "at") > F.col("first"))
+        whole = later.select("doc_id", "version", (F.col("at") + F.col("lo")).alias("begin"), (F.col("at") + F.col("hi") + width).alias("end"))
+        several = written(classes.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"))
+        edges = classes.join(several, "seed").select("seed", "lo", "first.doc_id", "first.version", "first.at", "first.windows")
+        windows = written(edges.mapInArrow(_windows, "seed long, window long, doc_id long, version long, start int"))
+        place = F.struct("doc_id", "version", "start")
+        first = written(windows.groupBy("seed", "window").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("seed", "window", "first"))
+        repeated = windows.join(first, ["seed", "window"]).where(place > F.col("first"))
+        return keep(whole.unionByName(repeated.select("doc_id", "version", F.col("start").alias("begin"), (F.col("start") + width).alias("end"))))
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:

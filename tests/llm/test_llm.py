@@ -200,6 +200,15 @@ def test_split_characters_decode():
     assert "".join(op.decode_stream([[i] for i in ids], path)) == "a🙂你½ z"
 
 
+def test_ids_without_a_token_have_no_bytes(spark):
+    from siftwork.llm import byte_bpe as op
+
+    path, hello = op.vocabulary_path(), reference_encoding().encode_ordinary("hello you")
+    data = [(1, [*hello[:1], 100_000_000, -3, None, *hello[1:]]), (2, None), (3, []), (4, [-1]), (5, hello)]
+    out = keyed(op.decode(spark.createDataFrame(data, "doc_id long, ids array<int>"), path), "decoded")
+    assert {d: bytes(b) for d, (b,) in out.items()} == {1: b"hello you", 2: b"", 3: b"", 4: b"", 5: b"hello you"}
+
+
 # 3 URL filters
 
 
@@ -640,6 +649,9 @@ def test_mixing(spark, docs, rows, none):
     more = {r["doc_id"]: r["taken"] for r in op.mix(docs, budget=1.6).collect()}
     assert all(more[d] >= again[d] for d in more)  # thresholds are nested
     assert op.mix(none).count() == 0
+    clash = docs.withColumn("__id", F.lit(1)).withColumn("__copies", F.lit(2)).withColumn("taken_id", F.lit(3)).withColumn("c0", F.lit(4))
+    mixed = op.mixing_stage(spark, clash, "")
+    assert mixed.columns == clash.columns and Counter(r["doc_id"] for r in mixed.collect()) == {d: n // sizes[d] for d, n in again.items() if n}
     empty = spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")
     assert {r["taken"] for r in op.mix(empty).collect()} == {0}
 
