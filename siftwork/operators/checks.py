@@ -88,7 +88,11 @@ def family_coverage(scored: DataFrame) -> DataFrame:
 
 
 def policy_violations(manifest: DataFrame, policy: DataFrame, least_families: int = 3) -> DataFrame:
-    """dataset_name, problem. ``policy``: dataset_name, approved, allow_real, allow_fake; a row for each source."""
+    """dataset_name, problem. ``policy``: dataset_name, approved, allow_real, allow_fake, generator_labelled; a row for each source.
+
+    Families count where the source labels its generators; without that column, in every source.
+    """
+    labelled = F.coalesce("generator_labelled", F.lit(False)) if "generator_labelled" in policy.columns else F.lit(True)
     per = manifest.groupBy("dataset_name").agg(F.count_if(F.col("label") == 0).alias("real"), F.count_if(F.col("label") == 1).alias("fake"))
     joined = per.join(F.broadcast(policy), "dataset_name", "left")
     approved = F.coalesce("approved", F.lit(False))
@@ -99,7 +103,9 @@ def policy_violations(manifest: DataFrame, policy: DataFrame, least_families: in
     ))
     rows = joined.select("dataset_name", F.explode(problems).alias("problem"))
     family = F.when((F.col("label") == 1) & ~missing(F.col("generator_family")), F.trim("generator_family"))
-    whole = manifest.agg(F.count_if(F.col("label") == 0).alias("real"), F.count_if(F.col("label") == 1).alias("fake"), F.count_distinct(family).alias("families"))
+    sources = policy.select("dataset_name", labelled.alias("names_generators")) if "generator_labelled" in policy.columns else None
+    rated = manifest.join(F.broadcast(sources), "dataset_name", "left") if sources is not None else manifest.withColumn("names_generators", F.lit(True))
+    whole = rated.agg(F.count_if(F.col("label") == 0).alias("real"), F.count_if(F.col("label") == 1).alias("fake"), F.count_distinct(F.when(F.col("names_generators"), family)).alias("families"))
     overall = F.array_compact(F.array(F.when(F.col("real") == 0, "no real rows"), F.when(F.col("fake") == 0, "no fake rows"), F.when(F.col("families") < least_families, "too few fake families")))
     return rows.unionByName(whole.select(F.lit("*").alias("dataset_name"), F.explode(overall).alias("problem")))
 

@@ -5,19 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftwork.functions.exprs import composite
+from siftwork.functions.exprs import composite, order_bucket
 from siftwork.sources.registry import FAMILIES
 
 
 def roc_auc(scored: DataFrame, *by: str, score: str = "score", label: str = "label") -> DataFrame:
     """``by``, roc_auc, n_positive, n_negative: the exact area, ties counting half; null with one class only.
 
-    Scores are first aggregated to one row for each distinct score, with map-side combination; the
-    running count of negatives then needs one sort of distinct scores by group.
+    Scores are first aggregated to one row for each distinct score, with map-side combination. The
+    running count of negatives is that of the buckets below (``order_bucket``) and that within the
+    score's own bucket, so that no task sorts all scores of a group.
     """
-    keys = list(by)
-    level = scored.groupBy(*keys, F.col(score).alias("__s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum((1 - F.col(label)).cast("long")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keys, bucketed = list(by), order_bucket(F.col("__s")).alias("__bucket")
+    level = scored.groupBy(*keys, F.col(score).alias("__s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum((1 - F.col(label)).cast("long")).alias("n")).select("*", bucketed)
+    sums = level.groupBy(*keys, "__bucket").agg(F.sum("n").alias("__n"))
+    before = sums.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    other = before.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__bucket").alias("__other"), "__before")
+    same = F.col("__bucket") == F.col("__other")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    within = Window.partitionBy(*keys, "__bucket").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    level = level.join(other, same).select(*keys, "__s", "p", "n", "__bucket", "__before")
+    below = F.col("__before") + F.coalesce(F.sum("n").over(within), F.lit(0))
     ranked = level.withColumn("won", F.col("p") * (2 * below + F.col("n")))
     total = ranked.groupBy(*keys).agg(F.sum("won").alias("won"), F.sum("p").alias("n_positive"), F.sum("n").alias("n_negative"))
     return total.select(*keys, F.try_divide(F.col("won").cast("double"), (2 * F.col("n_positive") * F.col("n_negative")).cast("double")).alias("roc_auc"), "n_positive", "n_negative")
@@ -93,17 +102,22 @@ def operating_threshold(scored: DataFrame) -> DataFrame:
 
     Points inside a straight stretch of the curve are dropped first, so that a tie falls on its ends.
     """
-    level = scored.groupBy(F.col("score").alias("s")).agg(F.sum(F.col("label").cast("long")).alias("p"), F.sum((1 - F.col("label")).cast("long")).alias("n"))
-    down = Window.orderBy(F.desc("s"))  # distinct scores of one evaluation split
-    total = Window.partitionBy(F.lit(0))
-    curve = level.withColumn("tp", F.sum("p").over(down.rowsBetween(Window.unboundedPreceding, 0))).withColumn("fp", F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0)))
-    curve = curve.withColumn("all_p", F.sum("p").over(total)).withColumn("all_n", F.sum("n").over(total)).withColumn("at", F.row_number().over(down))
-    ahead = lambda c: F.lead(c).over(down)
-    straight = (F.col("at") > 1) & ahead("p").isNotNull() & (ahead("p") == F.col("p")) & (ahead("n") == F.col("n"))
-    kept = curve.withColumn("inner", F.coalesce(straight, F.lit(False))).where("not inner")
-    scored_j = kept.withColumn("youden_j", F.try_divide(F.col("tp").cast("double"), F.col("all_p").cast("double")) - F.try_divide(F.col("fp").cast("double"), F.col("all_n").cast("double")))
-    best = scored_j.withColumn("best", F.max("youden_j").over(total)).where("youden_j >= best - 1e-12")
-    return best.orderBy(F.abs(F.col("s") - 0.5), "at").limit(1).select(F.col("s").alias("threshold"), "youden_j")
+    level = scored.groupBy(F.col("score").alias("s")).agg(F.sum(F.col("label").cast("long")).alias("p"), F.sum((1 - F.col("label")).cast("long")).alias("n")).withColumn("bucket", order_bucket(F.col("s")))
+    # a row for each bucket: what lies above it, its number of scores, and the first score of the next
+    each = level.groupBy("bucket").agg(F.sum("p").alias("bp"), F.sum("n").alias("bn"), F.count("*").alias("k"), F.max_by(F.struct("p", "n"), "s").alias("top"))
+    down, total = Window.orderBy(F.desc("bucket")), Window.partitionBy(F.lit(0))
+    above = lambda c: F.sum(c).over(down.rowsBetween(Window.unboundedPreceding, 0)) - F.col(c)
+    sums = each.select("bucket", above("bp").alias("tp0"), above("bn").alias("fp0"), above("k").alias("at0"), F.lead("top").over(down).alias("next_top"), F.sum("bp").over(total).alias("all_p"), F.sum("bn").over(total).alias("all_n"))
+    inner = Window.partitionBy("bucket").orderBy(F.desc("s"))
+    upto = lambda c: F.sum(c).over(inner.rowsBetween(Window.unboundedPreceding, 0))
+    curve = level.join(sums, "bucket").withColumn("tp", F.col("tp0") + upto("p")).withColumn("fp", F.col("fp0") + upto("n")).withColumn("at", F.col("at0") + F.row_number().over(inner))
+    curve = curve.withColumn("after", F.coalesce(F.lead(F.struct("p", "n")).over(inner), F.col("next_top")))
+    straight = (F.col("at") > 1) & F.col("after").isNotNull() & (F.col("after.p") == F.col("p")) & (F.col("after.n") == F.col("n"))
+    kept = curve.where(~F.coalesce(straight, F.lit(False)))
+    scored_j = kept.select("s", "at", (F.try_divide(F.col("tp").cast("double"), F.col("all_p").cast("double")) - F.try_divide(F.col("fp").cast("double"), F.col("all_n").cast("double"))).alias("youden_j"))
+    best = scored_j.agg(F.max("youden_j").alias("j"))  # one row
+    near = scored_j.where(F.col("youden_j") >= best.scalar() - 1e-12)
+    return near.orderBy(F.abs(F.col("s") - 0.5), "at").limit(1).select(F.col("s").alias("threshold"), "youden_j")
 
 
 def candidates(scored: DataFrame, split: str = "validation", unseen_split: str = "generator_validation") -> DataFrame:

@@ -183,10 +183,16 @@ def weighted_sample(weighted: DataFrame, draws: int, seed: int, key: str = "samp
     if not replacement:
         return _distinct_sample(weighted, draws, seed, key)
     keyed = weighted.select(key, "weight", F.md5(F.col(key)).alias("d")).withColumn("head", F.substring("d", 1, 3))
-    sums = keyed.groupBy("head").agg(F.sum("weight").alias("w"))
-    before = sums.select("head", (F.sum("w").over(Window.orderBy("head")) - F.col("w")).alias("before"), F.sum("w").over(Window.partitionBy(F.lit(0))).alias("total"))
-    run = F.sum("weight").over(Window.partitionBy("head").orderBy("d", key).rowsBetween(Window.unboundedPreceding, 0))
-    spans = keyed.join(F.broadcast(before), "head").withColumn("hi", (F.col("before") + run) / F.col("total")).withColumn("lo", F.col("hi") - F.col("weight") / F.col("total"))
+    sums = materialized(keyed.groupBy("head").agg(F.sum("weight").alias("w")))  # at most 4,096 rows
+    heads = Window.orderBy("head")
+    upto = F.sum("w").over(heads.rowsBetween(Window.unboundedPreceding, 0))
+    ends = sums.select("head", upto.alias("after")).withColumn("before", F.coalesce(F.lag("after").over(heads), F.lit(0.0))).withColumn("total", F.max("after").over(Window.partitionBy(F.lit(0))))
+    # a row's stretch begins where the one before ends, by the same number, so that no draw falls between two
+    rows = Window.partitionBy("head").orderBy("d", key)
+    run = F.sum("weight").over(rows.rowsBetween(Window.unboundedPreceding, 0))
+    edged = keyed.join(F.broadcast(ends), "head").withColumn("edge", F.least(F.col("before") + run, "after"))
+    last = F.lead("d").over(rows).isNull()
+    spans = edged.withColumn("hi", F.when(last, F.col("after")).otherwise(F.col("edge")) / F.col("total")).withColumn("lo", F.coalesce(F.lag("edge").over(rows), "before") / F.col("total"))
     cut = lambda c: F.least(F.lit(1023), F.greatest(F.lit(0), F.floor(F.col(c) * 1024))).cast("int")
     left = spans.select(key, "lo", "hi", F.explode(F.sequence(cut("lo"), cut("hi"))).alias("bucket"))
     points = weighted.sparkSession.range(draws).select(F.col("id").alias("draw")).withColumn("u", uniform(seed, "draw")).withColumn("bucket", F.least(F.lit(1023), F.floor(F.col("u") * 1024)).cast("int"))

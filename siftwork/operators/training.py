@@ -90,7 +90,7 @@ def stress_grid(samples: DataFrame, score: Callable[[DataFrame], DataFrame], che
     conditions are the fixed list of four.
     """
     spark = samples.sparkSession
-    dim = stress_conditions(spark).select("condition_id", F.to_json("parameters").alias("transform_metadata"))
+    dim = stress_conditions(spark).select("condition_id", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("parameters")))).alias("transform_metadata"))
     grid = samples.crossJoin(F.broadcast(dim))
     clean = score(samples.select("sample_id").withColumn("condition_id", F.lit("clean"))).select("sample_id", F.round(sigmoid(F.col("logit")), 12).alias("clean_score"))
     logits = score(grid.select("sample_id", "condition_id")).select("sample_id", "condition_id", "logit")

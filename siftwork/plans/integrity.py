@@ -64,19 +64,19 @@ def audit_shortcuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.label_shortcuts(manifest(spark, sf_dir), *_NAMES)
 
 
-_POLICY = [(f"src{i}", i % 5 != 4, i % 2 == 0, i % 3 != 0) for i in range(18)]
-_POLICY_SQL = "policy(dataset_name, approved, allow_real, allow_fake) AS (VALUES " + ", ".join(f"('{a}', {b}, {c}, {d})" for a, b, c, d in _POLICY) + ")"
+_POLICY = [(f"src{i}", i % 5 != 4, i % 2 == 0, i % 3 != 0, i % 4 != 3) for i in range(18)]
+_POLICY_SQL = "policy(dataset_name, approved, allow_real, allow_fake, generator_labelled) AS (VALUES " + ", ".join(f"('{a}', {b}, {c}, {d}, {e})" for a, b, c, d, e in _POLICY) + ")"
 
 
 @query(f"""WITH {_M}, {_POLICY_SQL}, p AS (SELECT dataset_name, count(*) FILTER (WHERE label = 0) AS r, count(*) FILTER (WHERE label = 1) AS f FROM manifest GROUP BY 1),
 j AS (SELECT p.dataset_name, r, f, coalesce(approved, false) AS ok, allow_real, allow_fake FROM p LEFT JOIN policy USING (dataset_name)),
-w AS (SELECT count(*) FILTER (WHERE label = 0) AS r, count(*) FILTER (WHERE label = 1) AS f, count(DISTINCT CASE WHEN label = 1 THEN trim(generator_family) END) AS k FROM manifest)
+w AS (SELECT count(*) FILTER (WHERE label = 0) AS r, count(*) FILTER (WHERE label = 1) AS f, count(DISTINCT CASE WHEN label = 1 AND generator_labelled THEN trim(generator_family) END) AS k FROM manifest LEFT JOIN policy USING (dataset_name))
 SELECT dataset_name, 'source not approved' AS problem FROM j WHERE NOT ok
 UNION ALL SELECT dataset_name, 'real rows not allowed' FROM j WHERE ok AND r > 0 AND NOT allow_real
 UNION ALL SELECT dataset_name, 'fake rows not allowed' FROM j WHERE ok AND f > 0 AND NOT allow_fake
 UNION ALL SELECT '*', 'no real rows' FROM w WHERE r = 0 UNION ALL SELECT '*', 'no fake rows' FROM w WHERE f = 0 UNION ALL SELECT '*', 'too few fake families' FROM w WHERE k < 5""")
 def policy_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    policy = spark.createDataFrame(_POLICY, "dataset_name string, approved boolean, allow_real boolean, allow_fake boolean")
+    policy = spark.createDataFrame(_POLICY, "dataset_name string, approved boolean, allow_real boolean, allow_fake boolean, generator_labelled boolean")
     return checks.policy_violations(manifest(spark, sf_dir), policy, least_families=5)
 
 

@@ -46,3 +46,16 @@ def test_scalars(spark):
 def test_learning_rate(spark):
     rate = [one(spark, exprs.learning_rate_factor(F.lit(i), 10, 100))[0] for i in (0, 9, 10, 55, 100)]
     assert rate == pytest.approx([0.1, 1.0, 1.0, 0.5, 0.0])
+
+
+def test_order_bucket_never_falls(spark):
+    import math
+    import random
+
+    rng = random.Random(4)
+    near = [0.0, 5e-324, 1e-300, 0.25, 0.5, 0.75, 1.0, 2.0, 1e300, math.inf]
+    xs = [*near, *(math.nextafter(x, -math.inf) for x in near), *(math.nextafter(x, math.inf) for x in near), *(rng.random() for _ in range(300)), *(1 - rng.random() ** 9 for _ in range(300)), *(rng.gauss(0, 5) for _ in range(300))]
+    xs += [-x for x in xs]
+    rows = spark.createDataFrame([(None,), (math.nan,), *((x,) for x in xs)], "x double").select("x", exprs.order_bucket(F.col("x")).alias("b")).orderBy("x").collect()
+    buckets = [r["b"] for r in rows]
+    assert buckets == sorted(buckets) and len(set(buckets)) > 800 and all(b is not None for b in buckets)

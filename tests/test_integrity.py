@@ -174,3 +174,19 @@ def test_sample_without_replacement(spark):
     assert split.weighted_sample(rows, positive, 7, replacement=False).select("sample_id").distinct().count() == positive
     with pytest.raises(DataIntegrityError, match="without replacement"):
         split.weighted_sample(rows, positive + 1, 7, replacement=False)
+
+
+def test_families_count_where_sources_label_generators(spark):
+    df = spark.createDataFrame([("a", 0, "authentic"), ("a", 1, "f"), ("b", 1, "g"), ("b", 1, " f "), ("c", 1, "h")], "dataset_name string, label int, generator_family string")
+    few = ("*", "too few fake families")
+    policy = "dataset_name string, approved boolean, allow_real boolean, allow_fake boolean"
+    found = lambda flags, least: rows(checks.policy_violations(df, spark.createDataFrame([(n, True, True, True, g) for n, g in flags], policy + ", generator_labelled boolean"), least))
+    assert found([("a", True), ("b", True), ("c", True)], 3) == [] and found([("a", True), ("b", True), ("c", False)], 3) == [few]
+    assert found([("a", True), ("b", True), ("c", False)], 2) == [] and found([("a", False), ("b", None), ("c", True)], 2) == [few]
+    assert rows(checks.policy_violations(df, spark.createDataFrame([(n, True, True, True) for n in "abc"], policy), 3)) == []
+
+
+def test_every_draw_finds_a_row(spark):
+    df = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("sample_id"), (1 / (3 + F.col("id") % 7)).alias("weight"))
+    out = split.weighted_sample(df, draws=20_000, seed=3)
+    assert out.count() == 20_000 and out.select("draw").distinct().count() == 20_000
