@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions.exprs import composite, order_bucket
 from siftwork.sources.registry import FAMILIES
+from siftwork.sources.shared import materialized
 
 
 def roc_auc(scored: DataFrame, *by: str, score: str = "score", label: str = "label") -> DataFrame:
@@ -36,14 +37,14 @@ def condition_auc(scored: DataFrame, split: str) -> DataFrame:
     return roc_auc(scored.where(F.col("split") == split), "condition_id", "transform_family", score="milli" if "milli" in scored.columns else "score")
 
 
-def rollup(scored: DataFrame, split: str = "validation", unseen_split: str = "generator_validation") -> DataFrame:
+def rollup(scored: DataFrame, split: str = "validation", unseen_split: str = "generator_validation", each: DataFrame | None = None) -> DataFrame:
     """metric, value: clean, each family, macro, pooled, worst family, worst condition, unseen, composite.
 
     A family is the mean of its conditions and macro the mean of the families, which isn't the
-    pooled area over all rows.
+    pooled area over all rows. ``each``: the areas of ``condition_auc``, if they are there already.
     """
     score = "milli" if "milli" in scored.columns else "score"
-    each = condition_auc(scored, split)
+    each = materialized(condition_auc(scored, split)) if each is None else each  # a row for each condition, read many times
     robust = each.where("condition_id <> 'clean'")
     families = robust.groupBy("transform_family").agg(F.avg("roc_auc").alias("value"))
     summary = families.agg(F.avg("value").alias("macro"), F.min("value").alias("worst_family"))
@@ -62,12 +63,13 @@ def rollup(scored: DataFrame, split: str = "validation", unseen_split: str = "ge
 def metric_rows(scored: DataFrame, split: str = "validation", unseen_split: str = "generator_validation") -> DataFrame:
     """ordinal, partition, roc_auc in report order: clean, families, conditions by name, summaries."""
     spark = scored.sparkSession
-    rows = rollup(scored, split, unseen_split)
+    areas = materialized(condition_auc(scored, split))
+    rows = rollup(scored, split, unseen_split, areas)
     order = [("clean", "Clean"), *((f"family:{k}", v) for k, v in FAMILIES.items())]
     last = [("macro_robust", "Macro robust"), ("pooled_robust", "Pooled robust"), ("worst_family", "Worst family"), ("worst_condition", "Worst condition"), ("unseen_generator", "Unseen generator"), ("composite", "Composite")]
     names = spark.createDataFrame([(k, v, i, "") for i, (k, v) in enumerate(order)] + [(k, v, 1000 + i, "") for i, (k, v) in enumerate(last)], "metric string, partition string, place int, tie string")
     fixed = rows.join(F.broadcast(names), "metric").select("partition", F.col("value").alias("roc_auc"), "place", "tie")
-    each = condition_auc(scored, split).where("condition_id <> 'clean'").select(F.concat(F.lit("Condition: "), F.col("condition_id")).alias("partition"), "roc_auc", F.lit(500).alias("place"), F.col("condition_id").alias("tie"))
+    each = areas.where("condition_id <> 'clean'").select(F.concat(F.lit("Condition: "), F.col("condition_id")).alias("partition"), "roc_auc", F.lit(500).alias("place"), F.col("condition_id").alias("tie"))
     ordered = Window.orderBy("place", "tie")  # a report: a few rows for each condition
     return fixed.unionByName(each).select(F.row_number().over(ordered).cast("long").alias("ordinal"), "partition", "roc_auc")
 
@@ -123,7 +125,7 @@ def operating_threshold(scored: DataFrame) -> DataFrame:
 def candidates(scored: DataFrame, split: str = "validation", unseen_split: str = "generator_validation") -> DataFrame:
     """A row of metrics for each checkpoint."""
     score = "milli" if "milli" in scored.columns else "score"
-    each = roc_auc(scored.where(F.col("split") == split), "checkpoint_id", "condition_id", "transform_family", score=score)
+    each = materialized(roc_auc(scored.where(F.col("split") == split), "checkpoint_id", "condition_id", "transform_family", score=score))
     clean = each.where("condition_id = 'clean'").select("checkpoint_id", F.col("roc_auc").alias("clean_auc"))
     family = each.where("condition_id <> 'clean'").groupBy("checkpoint_id", "transform_family").agg(F.avg("roc_auc").alias("a"))
     macro = family.groupBy("checkpoint_id").agg(F.avg("a").alias("macro_robust_auc"), F.min("a").alias("worst_family_auc"))
