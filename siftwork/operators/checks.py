@@ -26,15 +26,14 @@ def enforce(violations: DataFrame, error: type[Exception] = DataIntegrityError,
         raise error(f"{n} {what}, among them {examples}")
 
 
-def _violations(df: DataFrame, key: str, rules: list[tuple[str, Column]]) -> DataFrame:
-    """key, rule for each row and rule that is true (or null) there; one pass."""
-    found = F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules)))
-    return df.select(F.col(key), F.explode(found).alias("rule"))
+def _broken(rules: list[tuple[str, Column]]) -> Column:
+    """The names of the rules that are true (or null) for a row."""
+    return F.array_compact(F.array(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for name, bad in rules)))
 
 
-def manifest_violations(manifest: DataFrame) -> DataFrame:
-    """sample_id, rule for every row contract of the manifest that doesn't hold."""
-    rules = [
+def broken_rules() -> Column:
+    """The names of the manifest's row contracts that a row breaks."""
+    return _broken([
         ("blank sample_id", missing(F.col("sample_id"))),
         ("label", ~number(F.col("label")).isin(0.0, 1.0)),
         ("blank source_group_id", missing(F.col("source_group_id"))),
@@ -43,8 +42,12 @@ def manifest_violations(manifest: DataFrame) -> DataFrame:
         ("content_checksum", ~is_sha256(F.col("content_checksum"))),
         ("perceptual_hash", ~is_hash64(F.col("perceptual_hash"))),
         ("split", ~F.col("split").isin(*SPLITS, "unassigned")),
-    ]
-    return _violations(manifest, "sample_id", rules)
+    ])
+
+
+def manifest_violations(manifest: DataFrame) -> DataFrame:
+    """sample_id, rule for every row contract of the manifest that doesn't hold; one pass."""
+    return manifest.select("sample_id", F.explode(broken_rules()).alias("rule"))
 
 
 def score_violations(scored: DataFrame) -> DataFrame:
@@ -59,7 +62,7 @@ def score_violations(scored: DataFrame) -> DataFrame:
         ("family", ~F.col("transform_family").isin("clean", *FAMILIES)),
         ("clean condition and family differ", (F.col("condition_id") == "clean") != (F.col("transform_family") == "clean")),
     ]
-    return _violations(scored, "sample_id", rules)
+    return scored.select("sample_id", F.explode(_broken(rules)).alias("rule"))
 
 
 def repeated_keys(df: DataFrame, *keys: str) -> DataFrame:

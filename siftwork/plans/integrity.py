@@ -167,12 +167,36 @@ def sampling_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.sampling_weights(manifest(spark, sf_dir)).withColumn("weight", F.round("weight", 12))
 
 
-@query()
+_UNIFORM = "('0x' || substr(md5('17|' || {0}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
+
+@query(f"""WITH {_M}, r AS (SELECT sample_id, label, {_ST} AS st FROM manifest WHERE label IN (0, 1)), s AS (SELECT label, st, count(*) AS n FROM r GROUP BY 1, 2), k AS (SELECT label, count(*) AS k FROM s GROUP BY 1),
+w AS (SELECT sample_id, md5(sample_id) AS d, 0.5::DOUBLE / (k * n) AS weight FROM r JOIN s USING (label, st) JOIN k USING (label)),
+edges AS (SELECT sample_id, sum(weight) OVER (ORDER BY d, sample_id ROWS UNBOUNDED PRECEDING) / sum(weight) OVER () AS hi, row_number() OVER (ORDER BY d, sample_id) AS spot FROM w),
+spans AS (SELECT sample_id, coalesce(lag(hi) OVER (ORDER BY spot), 0) AS lo, CASE WHEN spot = max(spot) OVER () THEN 1 ELSE hi END AS hi FROM edges),
+draws AS (SELECT range AS draw, {_UNIFORM.format("range")} AS u FROM range(2000))
+SELECT draw, sample_id FROM draws JOIN spans ON u >= lo AND u < hi""")
 def weighted_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.weighted_sample(split.sampling_weights(manifest(spark, sf_dir)), draws=2000, seed=17)
 
 
-@query()
+_SEEDED = "md5('{0}|' || split_group_id)"
+#: Holdouts by families, controls for holdouts without real rows, and the first of the seeds whose three parts have both labels.
+_SPLIT = f"""{_GROUPED}, f AS (SELECT generator_family, count(*) AS n FROM grouped WHERE label = 1 GROUP BY 1 HAVING count(*) >= 3), p AS (SELECT *, row_number() OVER (ORDER BY n DESC, generator_family) AS place FROM f),
+g AS (SELECT split_group_id, bool_or(label = 0) AS has_real, bool_or(label = 1) AS has_fake, bool_or(label = 1 AND coalesce(place = 2, false)) AS in_validation, bool_or(label = 1 AND coalesce(place = 1, false)) AS in_test FROM grouped LEFT JOIN p USING (generator_family) GROUP BY 1),
+held AS (SELECT split_group_id, CASE WHEN in_validation THEN 'generator_validation' ELSE 'generator_test' END AS split, has_real FROM g WHERE in_validation OR in_test),
+without AS (SELECT s AS split, row_number() OVER (ORDER BY spot) AS place FROM (VALUES ('generator_validation', 1), ('generator_test', 2)) AS v(s, spot) WHERE NOT coalesce((SELECT bool_or(has_real) FROM held WHERE held.split = s), false)),
+real AS (SELECT split_group_id, row_number() OVER (ORDER BY {_SEEDED.format(17)}, split_group_id) AS spot, greatest(1, floor(count(*) OVER () * 0.1::DOUBLE + 0.5)) AS each FROM g WHERE NOT in_validation AND NOT in_test AND has_real AND NOT has_fake),
+controls AS (SELECT split_group_id, split FROM real JOIN without ON spot > (place - 1) * each AND spot <= place * each),
+free AS (SELECT * FROM g WHERE NOT in_validation AND NOT in_test AND split_group_id NOT IN (SELECT split_group_id FROM controls)),
+tried AS (SELECT attempt, free.*, row_number() OVER (PARTITION BY attempt ORDER BY md5((17 + attempt)::VARCHAR || '|' || split_group_id), split_group_id) AS spot, greatest(1, floor(count(*) OVER (PARTITION BY attempt) * 0.1::DOUBLE + 0.5)) AS part FROM free, (SELECT range AS attempt FROM range(100))),
+placed AS (SELECT attempt, split_group_id, has_real, has_fake, CASE WHEN spot <= part THEN 'test' WHEN spot <= 2 * part THEN 'validation' ELSE 'train' END AS split FROM tried),
+good AS (SELECT min(attempt) AS attempt FROM (SELECT attempt FROM (SELECT attempt, split, bool_or(has_real) AND bool_or(has_fake) AS ok FROM placed GROUP BY 1, 2) GROUP BY 1 HAVING count(*) FILTER (WHERE ok) = 3)),
+assigned AS (SELECT split_group_id, split FROM held UNION ALL SELECT split_group_id, split FROM controls UNION ALL SELECT split_group_id, split FROM placed JOIN good USING (attempt))
+SELECT sample_id, split_group_id, assigned.split FROM grouped JOIN assigned USING (split_group_id)"""
+
+
+@query(_SPLIT.replace(" l ON l.doc_id = d.doc_id\n)", " l ON l.doc_id = d.doc_id WHERE toxic IS NOT NULL\n)", 1))
 def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     policy = split.SplitPolicy(minimum_holdout_family_rows=3)
     labelled = manifest(spark, sf_dir).where("label is not null")

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from siftwork.errors import DataIntegrityError
 from siftwork.functions.exprs import missing, normalized_filename_value, safe_relative_path
 from siftwork.operators import checks
+from siftwork.sources.shared import materialized, scratch
 
 MANIFEST_SCHEMA = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("sample_id", "path")]
@@ -162,17 +163,27 @@ def pair_list(csv_path: str, folder: str, dataset_name: str, family: str = "synt
 
 
 def build_manifest(spark: SparkSession, sources: list[Source], most_corrupt: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """(valid rows of all sources, violations of the others); raises if the others' share exceeds the limit.
+    """(valid rows of all sources, violations of the others as sample_id, rule); raises if the others' share exceeds the limit.
 
-    A null checksum is that of a file that isn't an image, and a violation; an empty one is of a source without files to read.
+    A null checksum is that of a file that isn't an image, and a violation; an empty one is of a source
+    without files to read. Of rows that share a sample_id none is valid, whichever came first; rows
+    without one break the contract by that alone. The rows are judged once and written to the shared
+    folder, so no file is read again for the count or the result.
     """
     rows = reduce(DataFrame.unionByName, (s(spark) for s in sources))
-    violations = checks.manifest_violations(rows.withColumn("width", F.coalesce("width", F.lit(1))).withColumn("height", F.coalesce("height", F.lit(1))).withColumn("content_checksum", F.when(F.col("content_checksum") == "", F.lit("0" * 64)).otherwise(F.col("content_checksum"))).withColumn("perceptual_hash", F.when(F.col("perceptual_hash") == "", F.lit("0" * 16)).otherwise(F.col("perceptual_hash"))))
-    bad = violations.select("sample_id").distinct()
-    total, corrupt = rows.count(), bad.count()
+    unread = {"width": F.coalesce("width", F.lit(1)), "height": F.coalesce("height", F.lit(1))}
+    unread |= {c: F.when(F.col(c) == "", F.lit("0" * n)).otherwise(F.col(c)) for c, n in (("content_checksum", 64), ("perceptual_hash", 16))}
+    own = [F.col(c).alias(f"own_{c}") for c in unread]
+    judged = rows.select("*", *own).withColumns(unread).withColumn("broken", checks.broken_rules())
+    with scratch(spark) as keep:
+        judged = materialized(judged.select(*(F.col(f"own_{c}" if c in unread else c).alias(c) for c in MANIFEST_COLUMNS), "broken"))
+        twice = checks.repeated_keys(judged.where(~missing(F.col("sample_id"))), "sample_id").select(F.col("sample_id").alias("twice"))
+        rules = F.when(F.col("twice").isNull(), F.col("broken")).otherwise(F.array_append("broken", F.lit("repeated sample_id")))
+        marked = keep(judged.join(twice, F.col("sample_id") == F.col("twice"), "left").select(*MANIFEST_COLUMNS, rules.alias("broken")))
+    total, corrupt = marked.agg(F.count("*"), F.count_if(F.size("broken") > 0)).first()
     if total and corrupt / total > most_corrupt:
         raise DataIntegrityError(f"{corrupt} of {total} rows are corrupt, more than {most_corrupt:.2%}")
-    return rows.join(bad, "sample_id", "left_anti").select(*MANIFEST_COLUMNS), violations
+    return marked.where(F.size("broken") == 0).select(*MANIFEST_COLUMNS), marked.select("sample_id", F.explode("broken").alias("rule"))
 
 
 def prediction_rows(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:

@@ -78,6 +78,12 @@ def test_labelled_rows_and_manifest(spark, tmp_path):
     with pytest.raises(DataIntegrityError, match="corrupt"):
         readers.build_manifest(spark, [lambda s: broken])
     assert readers.build_manifest(spark, [lambda s: broken], most_corrupt=0.1)[0].count() == 19
+    lost = made.withColumn("sample_id", F.when(F.col("sample_id") == "set:0", F.lit(None)).when(F.col("sample_id") == "set:1", "set:3").otherwise(F.col("sample_id")))
+    valid, bad = readers.build_manifest(spark, [lambda s: lost], most_corrupt=0.2)
+    assert sorted((r["sample_id"] or "", r["rule"]) for r in bad.collect()) == [("", "blank sample_id"), *[("set:3", "repeated sample_id")] * 2]
+    assert valid.count() == 17 and valid.where("sample_id is null or sample_id = 'set:3'").count() == 0
+    with pytest.raises(DataIntegrityError, match="3 of 20"):  # rows count, not their ids
+        readers.build_manifest(spark, [lambda s: lost], most_corrupt=0.14)
     with pytest.raises(DataIntegrityError, match="outside 0, 1, 2"):
         readers.labelled_rows(spark.createDataFrame([("a", 3)], "img_id string, label int"), "set")
     assert sorted(tuple(r) for r in readers.missing_classes(made, 12).collect()) == [(0, 10, 2), (1, 10, 2)]
