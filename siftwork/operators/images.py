@@ -1,7 +1,7 @@
 """Pixels: hashes, processing signals and the perturbations that need no codec, over arrays of numbers.
 
-An image is a row with ``pixels`` (height x width gray levels in 0 to 1, row by row), ``width`` and
-``height``. Functions over pixels run in Arrow batches; rules over their results are expressions.
+An image is a row with ``pixels`` (height x width gray levels in 0 to 1, row by row; for perturbations
+three of them a pixel as well), ``width`` and ``height``. Functions over pixels run in Arrow batches; rules over their results are expressions.
 """
 
 from __future__ import annotations
@@ -52,6 +52,58 @@ def noise_value(image: np.ndarray, sigma: float, seed: int) -> np.ndarray:
     return np.clip(image + np.random.default_rng(seed).normal(0.0, sigma, image.shape), 0.0, 1.0)
 
 
+def _resampling(n: int, m: int) -> np.ndarray:
+    """The m x n weights that bring n samples to m: cubic convolution, widened where it shrinks."""
+    shrink = max(n / m, 1.0)
+    centre = (np.arange(m) + 0.5) * n / m
+    x = np.abs((np.arange(n) + 0.5 - centre[:, None]) / shrink)
+    near, far = 1.5 * x**3 - 2.5 * x**2 + 1, -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2
+    w = np.where(x < 1, near, np.where(x < 2, far, 0.0))
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def resampled_value(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Height x width (x channels) at another size, values kept within 0 to 1."""
+    across = np.einsum("ij,jk...->ik...", _resampling(image.shape[0], height), image)
+    return np.clip(np.einsum("ij,kj...->ki...", _resampling(image.shape[1], width), across), 0.0, 1.0)
+
+
+def _scaled(size: int, scale: float) -> int:
+    """As ``exprs.resized``: halves round to even, at least one."""
+    return max(1, round(size * scale))
+
+
+def resize_value(image: np.ndarray, scale: float) -> np.ndarray:
+    """Shrunk by ``scale`` and brought back to its size."""
+    h, w = image.shape[:2]
+    return resampled_value(resampled_value(image, _scaled(h, scale), _scaled(w, scale)), h, w)
+
+
+def crop_value(image: np.ndarray, fraction: float) -> np.ndarray:
+    """The middle ``fraction`` of each side, brought back to the image's size."""
+    h, w = image.shape[:2]
+    ch, cw = _scaled(h, fraction), _scaled(w, fraction)
+    top, left = (h - ch) // 2, (w - cw) // 2
+    return resampled_value(image[top : top + ch, left : left + cw], h, w)
+
+
+def gray_value(image: np.ndarray) -> np.ndarray:
+    """Luma by the weights 0.299, 0.587, 0.114; a gray image as it is."""
+    return image if image.ndim == 2 else image @ np.array([0.299, 0.587, 0.114])
+
+
+def jitter_value(image: np.ndarray, magnitude: float, seed: int) -> np.ndarray:
+    """Brightness, contrast and (of colours) saturation by factors within ``magnitude`` of 1, in this order."""
+    brightness, contrast, saturation = np.random.default_rng(seed).uniform(1.0 - magnitude, 1.0 + magnitude, size=3)
+    image = np.clip(image * brightness, 0.0, 1.0)
+    middle = gray_value(image).mean()
+    image = np.clip(middle + (image - middle) * contrast, 0.0, 1.0)
+    if image.ndim == 3:
+        gray = gray_value(image)[..., None]
+        image = np.clip(gray + (image - gray) * saturation, 0.0, 1.0)
+    return image
+
+
 def blockiness_value(gray: np.ndarray) -> float:
     """Mean step over the borders of 8 x 8 blocks against the mean step inside them."""
     if min(gray.shape) < 24:
@@ -97,9 +149,21 @@ def processing_labels(signals: DataFrame, file_format: str | None = None) -> Dat
     return signals.withColumn("labels", labels).withColumn("detected", F.size("labels") > 0).withColumn("confidence", F.when(blocky | soft, "moderate").otherwise("low"))
 
 
+PERTURBATIONS = {
+    "blur": lambda image, severity, seed: blur_value(image, severity),
+    "noise": noise_value,
+    "resize": lambda image, severity, seed: resize_value(image, severity),
+    "center_crop": lambda image, severity, seed: crop_value(image, severity),
+    "color_jitter": jitter_value,
+}
+
+
 def perturbed(images: DataFrame, family: str, severity: float, seed: int, key: str = "sample_id") -> DataFrame:
-    """``images`` blurred or with noise, seeded by key. Families that need a codec or a resampler are refused."""
-    if family not in ("blur", "noise"):
+    """``images`` under one perturbation, seeded by key; sizes and columns stay. Families that need a codec are refused.
+
+    ``pixels`` may hold one number for each pixel or three (red, green, blue); any other count is an error.
+    """
+    if family not in PERTURBATIONS:
         raise ValueError(f"{family} needs an image codec, which isn't available")
     label = f"{family}:{severity}"
 
@@ -107,14 +171,27 @@ def perturbed(images: DataFrame, family: str, severity: float, seed: int, key: s
         for batch in batches:
             out = []
             for k, p, h, w in zip(batch[key], batch["pixels"], batch["height"], batch["width"], strict=True):
-                gray = np.asarray(p, float).reshape(h, w)
-                done = blur_value(gray, severity) if family == "blur" else noise_value(gray, severity, stable_seed_value(seed, k, label))
-                out.append(done.ravel())
+                image = np.asarray(p, float).reshape((h, w, 3) if len(p) == 3 * h * w else (h, w))
+                out.append(PERTURBATIONS[family](image, severity, stable_seed_value(seed, k, label)).ravel())
             yield batch.assign(pixels=out)
 
     return images.mapInPandas(scan, images.schema)
 
 
+def enriched_hashes(manifest: DataFrame, files: DataFrame, images: DataFrame) -> DataFrame:
+    """``manifest`` with content_checksum and perceptual_hash added or replaced, by path.
+
+    ``files``: path, content; ``images``: path, width, height, pixels (gray). Paths are unique on both
+    sides; a row whose file or image isn't there is an error, a row without path too.
+    """
+    exact = files.select(F.col("path").alias("at_file"), F.sha2("content", 256).alias("file_sha"))
+    seen = pixel_signals(images, "path").select(F.col("path").alias("at_image"), F.col("perceptual_hash").alias("image_hash"))
+    joined = manifest.join(exact, F.col("path") == F.col("at_file"), "left").join(seen, F.col("path") == F.col("at_image"), "left")
+    lost = lambda what: F.raise_error(F.concat(F.lit(f"no {what} at "), F.coalesce("path", F.lit("an empty path")))).cast("string")
+    new = {"content_checksum": F.coalesce("file_sha", lost("file")), "perceptual_hash": F.coalesce("image_hash", lost("image"))}
+    return joined.withColumns(new).select(*manifest.columns, *(c for c in new if c not in manifest.columns))
+
+
 def picked_conditions(samples: DataFrame, epoch: int, seed: int, count: int = 1, key: str = "sample_id") -> DataFrame:
     """``key``, ordinal, condition_id: ``count`` distinct families in random order, a severity of each; every row by its own seed."""
     if not 1 <= count <= len(FAMILIES):

@@ -149,6 +149,17 @@ def first_per_group(rows: DataFrame, by: list[str], order: list[str], n: int) ->
     return rows.withColumn("__at", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__at") <= n).drop("__at")
 
 
+def parity_sample(manifest: DataFrame, n: int = 32, key: str = "sample_id") -> DataFrame:
+    """The first ``n`` rows of validation and test by ``key``, for comparing two forms of a model; fewer are an error.
+
+    A table has no file order, so the key takes its place.
+    """
+    found = materialized(manifest.where(F.col("split").isin("validation", "test")).orderBy(key).limit(n))
+    if found.count() < n:
+        raise DataIntegrityError(f"{n} validation or test rows are needed")
+    return found
+
+
 def sampling_weights(manifest: DataFrame, key: str = "sample_id") -> DataFrame:
     """``key``, weight: half of the mass for each label, equal shares for its strata (real: source; fake: source and family), equal within."""
     stratum = F.when(F.col("label") == 0, F.col("dataset_name")).otherwise(F.concat_ws("\x1f", "dataset_name", "generator_family"))

@@ -119,6 +119,40 @@ def markdown_table(rows: DataFrame, columns: list[str]) -> str:
     return "\n".join(out) + "\n"
 
 
+def area_chart(rows: DataFrame, path: str) -> None:
+    """A bar chart of areas as SVG, the clean one and one for each family. ``rows``: ordinal, partition, roc_auc (0 to 1; null: no bar)."""
+    bars = rows.orderBy("ordinal").collect()
+    step, height = 90, 240
+    out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{60 + step * len(bars)}" height="{height + 70}" font-family="sans-serif" font-size="12">']
+    for tenth in range(0, 11, 2):
+        y = 20 + height * (1 - tenth / 10)
+        out.append(f'<line x1="45" x2="{55 + step * len(bars)}" y1="{y:g}" y2="{y:g}" stroke="#ddd"/><text x="38" y="{y + 4:g}" text-anchor="end">{tenth / 10:g}</text>')
+    for i, r in enumerate(bars):
+        value, x = r["roc_auc"], 60 + step * i
+        if value is not None and math.isfinite(value):
+            tall = height * min(max(value, 0.0), 1.0)
+            out.append(f'<rect x="{x}" y="{20 + height - tall:g}" width="60" height="{tall:g}" fill="#3b6ea5"/><text x="{x + 30}" y="{14 + height - tall:g}" text-anchor="middle">{value:.3f}</text>')
+        out.append(f'<text x="{x + 30}" y="{height + 40}" text-anchor="middle">{html_escaped_value(r["partition"])}</text>')
+    out.append('<text x="12" y="14">ROC AUC</text></svg>')
+    write_text("\n".join(out) + "\n", path)
+
+
+def run_of_candidate(candidates: DataFrame, runs: list[str]) -> DataFrame:
+    """``candidates`` (with checkpoint_id) with run, the first of the run folders that has the id as its name; a folder named ``run`` goes by its parent.
+
+    A candidate without a run is an error. Runs are the few that a user names.
+    """
+    named = []
+    for place, run in enumerate(runs):
+        parts = [p for p in run.split("/") if p]
+        named.append((place, parts[-2] if len(parts) > 1 and parts[-1] == "run" else parts[-1], run))
+    places = candidates.sparkSession.createDataFrame(named, "place int, run_id string, run string")
+    first = places.groupBy("run_id").agg(F.min_by("run", "place").alias("run"))
+    found = candidates.join(F.broadcast(first), F.col("checkpoint_id") == F.col("run_id"), "left").drop("run_id")
+    lost = F.raise_error(F.concat(F.lit("no run of candidate "), F.coalesce("checkpoint_id", F.lit("without an id")))).cast("string")
+    return found.withColumn("run", F.coalesce("run", lost))
+
+
 def error_gallery(cases: DataFrame, manifest: DataFrame) -> str:
     """An HTML page of error cases with their paths; a case that the manifest lacks is an error. Reports hold at most a few dozen rows."""
     joined = cases.join(manifest.select("sample_id", "path", "dataset_name"), "sample_id", "left").collect()

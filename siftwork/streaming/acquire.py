@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -36,9 +37,32 @@ def capped_by_label(rows: DataFrame, cap: int, key: str = "sample_id", label: st
     return one.groupBy(label).applyInPandasWithState(take, kind, "n long", "append", GroupStateTimeout.NoTimeout)
 
 
+def _held(spark: SparkSession, output: str, kind: str) -> DataFrame:
+    try:
+        return spark.read.schema(kind).parquet(output)
+    except AnalysisException:  # the first run: nothing is there yet
+        return spark.createDataFrame([], kind)
+
+
 def acquire(spark: SparkSession, folder: str, schema: str, output: str, checkpoint: str, cap: int, key: str = "sample_id", label: str = "label") -> DataFrame:
-    """Reads the shards that are there and not yet done, appends to ``output``, and returns what it holds."""
+    """Reads the shards that are there and not yet done, appends to ``output``, and returns what it holds.
+
+    Once both labels are full the run stops between shards: later ones are not read, by this run or any
+    further one. What a stopped batch had not committed isn't in the result, and would be read again.
+    """
+    kind = f"{key} string, {label} int"
+    full = lambda: dict(_held(spark, output, kind).groupBy(label).count().collect())
+    done = full()
+    if all(done.get(c, 0) >= cap for c in (0, 1)):
+        return _held(spark, output, kind)
     rows = capped_by_label(shard_stream(spark, folder, schema), cap, key, label)
     run = rows.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(f"{key} string, {label} int").parquet(output)
+    seen = -1
+    while not run.awaitTermination(0.5):
+        batch = (run.lastProgress or {}).get("batchId", -1)
+        if batch > seen:  # a batch has been committed since
+            seen, done = batch, full()
+            if all(done.get(c, 0) >= cap for c in (0, 1)):
+                run.stop()
+                break
+    return _held(spark, output, kind)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from siftwork.errors import DataIntegrityError
 from siftwork.operators import calibrate, cases, images, metrics
 
+# known answers
 SCORES = {
     ("clean", "clean"): (0.1, 0.2, 0.8, 0.9),
     ("jpeg_q90", "jpeg"): (0.1, 0.4, 0.6, 0.9),
@@ -144,6 +146,12 @@ def test_pixel_signals(spark):
     assert again[0] == again[1]
     with pytest.raises(ValueError, match="codec"):
         images.perturbed(df, "jpeg", 30.0, 1)
+    for family, severity in (("resize", 0.25), ("center_crop", 0.8), ("color_jitter", 0.2)):
+        out = {r["sample_id"]: r["pixels"] for r in images.perturbed(df, family, severity, 1).collect()}
+        assert out == {r["sample_id"]: r["pixels"] for r in images.perturbed(df.repartition(3), family, severity, 1).collect()}
+        assert all(len(p) == 64 * 64 and 0 <= min(p) and max(p) <= 1 for p in out.values()) and out["noise"] != picture("noise").ravel().tolist()
+        if family != "color_jitter":  # what is flat stays so at any size
+            assert out["flat"] == pytest.approx(picture("flat").ravel().tolist())
     logits = {r["sample_id"]: r["logit"] for r in images.scored(df, lambda: lambda grays: [g.mean() for g in grays]).collect()}
     assert logits["flat"] == pytest.approx(0.5)
 
@@ -194,3 +202,32 @@ def test_mined_loss(spark):
         training.hard_mined_loss(*bare, 4, 17)
     with pytest.raises(DataIntegrityError, match="exactly one score"):
         training.hard_mined_loss(scored.where("condition_id <> 'blur_s1.0'"), clean, 4, 17)
+
+
+def test_resampling():
+    ramp = np.linspace(0.2, 0.8, 40)[None, :].repeat(30, axis=0)
+    assert images.resampled_value(ramp, 30, 40) == pytest.approx(ramp)
+    assert images.resampled_value(ramp, 60, 20)[:, 3:-3] == pytest.approx(ramp.reshape(30, 20, 2).mean(axis=2).repeat(2, axis=0)[:, 3:-3])
+    assert images.resize_value(ramp, 0.01).shape == (30, 40)  # one pixel at least
+    assert images.crop_value(ramp, 0.5)[15, 10:30] == pytest.approx(np.interp((np.arange(10, 30) + 0.5) / 2 + 9.5, np.arange(40), ramp[0]), abs=1e-3)
+    colours = np.random.default_rng(3).random((20, 10, 3))
+    spread = lambda a: (a.max(axis=2) - a.min(axis=2)).mean()
+    gray = images.gray_value(colours)[..., None].repeat(3, axis=2)
+    assert spread(images.jitter_value(gray, 0.2, 5)) == pytest.approx(0) and spread(images.jitter_value(colours, 0.2, 5)) > 0
+    assert images.jitter_value(colours, 0.0, 5) == pytest.approx(colours)
+
+
+def test_colours_and_enriched_hashes(spark):
+    rgb = np.random.default_rng(1).random((8, 16, 3)).ravel().tolist()
+    df = spark.createDataFrame([("a", 16, 8, rgb)], "sample_id string, width int, height int, pixels array<double>")
+    for family in images.PERTURBATIONS:
+        assert len(images.perturbed(df, family, 0.5, 1).first()["pixels"]) == 8 * 16 * 3
+    manifest = spark.createDataFrame([("s1", "x.png", "old"), ("s2", "y.png", None)], "sample_id string, path string, content_checksum string")
+    files = spark.createDataFrame([("x.png", b"1"), ("y.png", b"2")], "path string, content binary")
+    pixels = spark.createDataFrame([(p, 64, 64, picture(k).ravel().tolist()) for p, k in (("x.png", "noise"), ("y.png", "blocks"))], "path string, width int, height int, pixels array<double>")
+    got = images.enriched_hashes(manifest, files, pixels)
+    assert got.columns == ["sample_id", "path", "content_checksum", "perceptual_hash"]
+    want = {"s1": (hashlib.sha256(b"1").hexdigest(), images.dct_hash_value(picture("noise"))), "s2": (hashlib.sha256(b"2").hexdigest(), images.dct_hash_value(picture("blocks")))}
+    assert {r["sample_id"]: (r["content_checksum"], r["perceptual_hash"]) for r in got.collect()} == want
+    with pytest.raises(Exception, match="no file at y.png"):
+        images.enriched_hashes(manifest, files.where("path = 'x.png'"), pixels).collect()

@@ -190,3 +190,11 @@ def test_every_draw_finds_a_row(spark):
     df = spark.range(3000).select(F.concat(F.lit("k"), "id").alias("sample_id"), (1 / (3 + F.col("id") % 7)).alias("weight"))
     out = split.weighted_sample(df, draws=20_000, seed=3)
     assert out.count() == 20_000 and out.select("draw").distinct().count() == 20_000
+
+
+def test_parity_sample(spark):
+    df = spark.createDataFrame([(f"s{i:03d}", ("train", "test", "validation")[i % 3]) for i in range(60)], "sample_id string, split string")
+    got = [r["sample_id"] for r in split.parity_sample(df.repartition(3)).collect()]
+    assert sorted(got) == [f"s{i:03d}" for i in range(60) if i % 3][:32]
+    with pytest.raises(DataIntegrityError, match="41 validation"):
+        split.parity_sample(df, 41)

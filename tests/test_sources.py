@@ -1,6 +1,7 @@
 import hashlib
 import json
 import os
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,10 @@ def test_reports(spark, tmp_path):
     rows = spark.createDataFrame([(1, "Clean", 0.5), (2, "Condition: a,b", 0.25)], "ordinal int, partition string, roc_auc double")
     sinks.robustness_csv(rows, f"{tmp_path}/r.csv")
     assert open(f"{tmp_path}/r.csv").read() == 'partition,roc_auc\nClean,0.5\n"Condition: a,b",0.25\n'
+    sinks.area_chart(rows.unionByName(spark.createDataFrame([(3, "x<y", None)], rows.schema)), f"{tmp_path}/c.svg")
+    chart = ElementTree.parse(f"{tmp_path}/c.svg").getroot()
+    bars = [float(e.get("height")) for e in chart if e.tag.endswith("rect")]
+    assert bars[0] == 2 * bars[1] and len(bars) == 2 and "x<y" in [e.text for e in chart]
     assert "| a\\|b |" in sinks.markdown_table(spark.createDataFrame([("a|b",)], "x string"), ["x"])
     assert json.loads(sinks.finite_json({"b": float("nan"), "a": [1.0]})) == {"a": [1.0], "b": None}
     sinks.predictions_json(spark.createDataFrame([("b.png", 0.5), ("a.png", 0.25)], "path string, score double"), f"{tmp_path}/p.json")
@@ -125,6 +130,14 @@ def test_reports(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/h").count() == 4
 
 
+def test_run_of_a_candidate(spark):
+    best = spark.createDataFrame([("k1", 0.9), ("k2", 0.8)], "checkpoint_id string, score double")
+    got = {r["checkpoint_id"]: r["run"] for r in sinks.run_of_candidate(best, ["/a/k1", "/b/k2/run/", "/c/k1/run"]).collect()}
+    assert got == {"k1": "/a/k1", "k2": "/b/k2/run/"}
+    with pytest.raises(Exception, match="no run of candidate k2"):
+        sinks.run_of_candidate(best, ["/a/k1"]).collect()
+
+
 def test_artifacts(spark, tmp_path):
     touch(tmp_path, "b/model.bin", "b/sub/config.json")
     found = sinks.artifact_manifest(spark, f"{tmp_path}/b")
@@ -163,3 +176,14 @@ def test_acquisition_resumes(spark, tmp_path):
     out = acquire.acquire(spark, *args)
     assert dict(out.groupBy("label").count().collect()) == {0: 6, 1: 6}
     assert out.where("sample_id like 'a%'").count() == 8
+
+
+def test_acquisition_ends_when_caps_are_full(spark, tmp_path):
+    shards, schema = f"{tmp_path}/shards", "sample_id string, label int"
+    for part in range(2):
+        spark.createDataFrame([(f"{part}-{i}", i % 2) for i in range(20)], schema).coalesce(1).write.mode("append").parquet(shards)
+    args = (shards, schema, f"{tmp_path}/out", f"{tmp_path}/progress", 5)
+    assert dict(acquire.acquire(spark, *args).groupBy("label").count().collect()) == {0: 5, 1: 5}
+    with open(f"{shards}/part-damaged.parquet", "wb") as f:
+        f.write(b"never read")
+    assert acquire.acquire(spark, *args).count() == 10
