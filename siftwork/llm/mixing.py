@@ -8,7 +8,8 @@ always takes a superset.
 
 Defined results: a null source is a source of its own, after all others; documents without words
 have size 0, are never counted and take 0; equal doc_ids, null ones too, have equal hashes and go in or stay out
-together; an empty table gives an empty result. Input columns stay in ``mix``.
+together; an empty table gives an empty result. ``mix`` gives its own columns alone, whatever others the
+input has; ``mixing_stage`` gives all of the input's.
 """
 
 from __future__ import annotations

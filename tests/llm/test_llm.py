@@ -835,3 +835,62 @@ def test_sql(spark):
 
     for name, sql in registry.oracle_sql().items():
         same(spark, name, registry.queries()[name], sql)
+
+
+# clashing columns, repeated rows, long texts
+
+
+#: Names that operators use for columns of their own, as far as documents may have them.
+CLASHING = ("anchor", "at", "below", "bits", "bucket", "copies", "count", "decoded", "digest", "first", "hash", "ids", "key", "kept", "labels", "line", "media", "n", "n_removed", "n_shingles", "n_words", "part", "payload", "place", "pos", "row", "score", "short", "size", "target", "window", "words", "__row", "__all")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """(rows, table, table with clashing columns): rows twice, ties, and a text of more than a megabyte."""
+    rng = random.Random(9)
+    long = " ".join(f"{rng.choice(('the', 'of', 'w'))}{rng.randrange(4000)}" + "\n" * (i % 12 == 0) for i in range(180_000))
+    rows = corpus(9, 40)
+    rows += [rows[12], rows[12], rows[20], (500, long, "en", "a", len(long)), (501, long, "en", "b", len(long)), (502, None, None, None, None), (502, None, None, None, None)]
+    plain = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    return rows, plain, plain.withColumns({c: F.lit(f"clash {c}") for c in CLASHING})
+
+
+def operators():
+    from siftwork.llm import byte_bpe, flac, licenses, line_dedup, mixing, near_dedup, quality, substring_dedup
+
+    path = byte_bpe.vocabulary_path()
+    return {
+        "dedup": (substring_dedup.dedup, ("n_words", "n_removed", "kept_sha256")),
+        "bpe": (lambda d: byte_bpe.digests(byte_bpe.decode(byte_bpe.encode(d, path), path)), ("n_tokens", "ids_sha256", "decoded_sha256")),
+        "flac": (lambda d: flac.read_back(flac.store(d)), ("n_bytes", "payload", "media")),
+        "licenses": (licenses.scan_licenses, ("n_words", "n_base", "labels", "score")),
+        "lines": (line_dedup.dedup_lines, ("n_lines", "n_removed")),
+        "quality": (quality.score, ("n_words", "kept", "failed")),
+        "mixing": (mixing.mix, ("size", "target", "taken")),
+        "near": (near_dedup.near_duplicates, ("n_shingles", "component_id", "kept")),
+    }
+
+
+@pytest.mark.parametrize("name", ["dedup", "bpe", "flac", "licenses", "lines", "quality", "mixing", "near"])
+def test_clashing_columns_repeated_rows_and_long_texts(odd, name):
+    rows, plain, clash = odd
+    op, columns = operators()[name]
+    read = lambda df: sorted(((r["doc_id"], *(r[c] for c in columns)) for r in op(df).collect()), key=repr)
+    got = read(plain)
+    assert [r[0] for r in got] == sorted((r[0] for r in rows), key=repr)
+    some = "true" if name == "mixing" else "doc_id < 500"  # the long texts share nothing with the others
+    assert [r for r in got if r[0] < 500 or name == "mixing"] == read(clash.where(some))
+    out, text = {r[0]: r[1:] for r in got}, next(t for d, t, *_ in rows if d == 500)
+    n, data = len(WORD.findall(text)), text.encode()
+    if name == "dedup":
+        assert out[501] == (n, n, sha(b""))
+    elif name == "bpe":
+        assert out[500] == out[501] and out[500][2] == sha(data)
+    elif name == "flac":
+        assert out[500] == out[501] and out[500][0] == len(data) > 1_000_000 and bytes(out[500][1]).rstrip(b" ") == data.rstrip(b" ")
+    elif name == "lines":
+        assert out[500][1] == 0 and out[501][1] >= n // 12
+    elif name == "near":
+        assert (out[500][1:], out[501][1:]) == ((500, True), (500, False))
+    else:
+        assert out[500][0] == n
