@@ -1,6 +1,6 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
-Every document has a 64-bit hash; a source takes the documents whose hash is below its
+Every document has a hash, the first 60 bits of a digest of its doc_id; a source takes the documents whose hash is below its
 threshold, plus whole repetitions. Thresholds come from sums of sizes by source and hash bucket:
 the bucket in which the budget ends is refined by the next bits of the hash, and only its
 documents take part, until a bucket holds one hash. No rows are sorted, and a larger budget
@@ -84,7 +84,9 @@ def thresholds(sized: DataFrame, goals: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: int = 11) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for each document."""
-    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 64 - _BITS * _ROUNDS).alias("short")))
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    short = F.conv(F.substring(digest, 1, _BITS * _ROUNDS // 4), 16, 10).cast("long")
+    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), short.alias("short")))
     rows = sized.where("size > 0").select("source", "size", F.shiftleft("short", 64 - _BITS * _ROUNDS).alias("hash"))
     goals = written(targets(sized.select("source", "size"), weights, budget, most))
     ends = thresholds(rows, goals)

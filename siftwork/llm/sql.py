@@ -136,3 +136,30 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d JOIN comp ON comp.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
+
+#: Running sums over whole hashes in place of buckets; equal hashes go in or stay out together.
+ORACLES["op9_source_mixing"] = rf"""
+WITH d AS (
+  SELECT doc_id, source, len({_WORDS})::BIGINT AS size, ('0x' || substr(md5('11|' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS h FROM documents
+), totals AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), weighed AS (
+  SELECT *, 2.0::DOUBLE * source_size AS most, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM totals
+), levels AS (
+  SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER full_before, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER full_before, 0)) AS reach, most / w AS level
+  FROM weighed WINDOW full_before AS (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), goals AS (
+  SELECT source, source_size, CASE WHEN common IS NULL OR level <= common THEN most ELSE common * w END AS target
+  FROM (SELECT *, max(CASE WHEN reach <= level THEN reach END) OVER () AS common FROM levels)
+), repeated AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-12)::BIGINT ELSE 0 END AS whole FROM goals
+), steps AS (
+  SELECT source, h, sum(size)::BIGINT AS size, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS upto FROM d WHERE size > 0 GROUP BY source, h
+), judged AS (
+  SELECT steps.source, h, target - whole * source_size AS rest, upto, steps.size AS size FROM steps JOIN repeated ON steps.source IS NOT DISTINCT FROM repeated.source
+), added AS (
+  -- all before the budget's end, and the one in which it ends if that comes nearer
+  SELECT source, h FROM judged WHERE upto <= rest OR (upto - size <= rest AND 2 * (rest - (upto - size)) > size)
+)
+SELECT doc_id, size, source_size, target, (CASE WHEN size > 0 THEN least(2, whole + CASE WHEN added.h IS NULL THEN 0 ELSE 1 END) ELSE 0 END * size)::BIGINT AS taken
+FROM d JOIN repeated ON d.source IS NOT DISTINCT FROM repeated.source LEFT JOIN added ON d.source IS NOT DISTINCT FROM added.source AND d.h = added.h"""
