@@ -416,6 +416,23 @@ def test_licenses_in_one_text(spark):
         assert got[i] == brute(t.replace(".", "").split())
 
 
+def test_licenses_by_clause(spark):
+    """Single clauses as files hold them, with names put in, comment marks, and lines broken anywhere."""
+    from siftwork.llm import licenses as op
+
+    texts = {
+        "bsd": " * Neither the name of Example Corp. nor the names of its contributors may be used to\n * endorse or promote products derived from this software without specific prior written permission.",
+        "apache": "# Unless required by applicable law or agreed to in writing, software\n# distributed under the License is distributed on an \"AS IS\" BASIS,\n# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n# See the License for the specific language governing permissions and\n# limitations under the License.",
+        "mpl": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "agpl,gpl": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "": "Software in source and binary forms may be used with written permission of its authors; this list of conditions holds without warranty of any kind.",
+    }
+    got = keyed(op.scan_licenses(spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")), "labels")
+    for i, labels in enumerate(texts):
+        assert got[i] == (labels,) or got[i] == labels, (labels, got[i])
+
+
 # 6 chat
 
 
