@@ -1,6 +1,6 @@
 """Query plans composed of operators, by name."""
 
-from siftwork.plans import evaluation, integrity
+from siftwork.plans import contracts, evaluation, integrity
 from siftwork.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluation", "integrity"]
+__all__ = ["ORACLES", "QUERIES", "contracts", "evaluation", "integrity"]
