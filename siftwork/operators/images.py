@@ -7,13 +7,14 @@ three of them a pixel as well), ``width`` and ``height``. Functions over pixels
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwork.functions import png
 from siftwork.functions.exprs import stable_seed_value
 from siftwork.sources.registry import CONDITIONS, FAMILIES
 
@@ -92,6 +93,20 @@ def gray_value(image: np.ndarray) -> np.ndarray:
     return image if image.ndim == 2 else image @ np.array([0.299, 0.587, 0.114])
 
 
+def levels_gray_value(levels: np.ndarray) -> np.ndarray:
+    """Luma in 0 to 1 of decoded levels, one channel at a time."""
+    if levels.ndim == 2:
+        return levels / 255.0
+    return sum(w * levels[:, :, i] for i, w in enumerate((0.299, 0.587, 0.114))) / 255.0
+
+
+def thumbnail_value(image: np.ndarray, side: int = 224) -> np.ndarray:
+    """Shrunk to fit a square, proportions kept; a smaller image as it is."""
+    h, w = image.shape[:2]
+    scale = min(1.0, side / max(h, w))
+    return image if scale == 1.0 else resampled_value(image, _scaled(h, scale), _scaled(w, scale))
+
+
 def jitter_value(image: np.ndarray, magnitude: float, seed: int) -> np.ndarray:
     """Brightness, contrast and (of colours) saturation by factors within ``magnitude`` of 1, in this order."""
     brightness, contrast, saturation = np.random.default_rng(seed).uniform(1.0 - magnitude, 1.0 + magnitude, size=3)
@@ -178,6 +193,70 @@ def perturbed(images: DataFrame, family: str, severity: float, seed: int, key: s
     return images.mapInPandas(scan, images.schema)
 
 
+def png_facts(content: Column) -> Column:
+    """width, height, perceptual_hash of PNG files; all null for null, and for a file that can't be decoded whole."""
+
+    def facts(files: pd.Series) -> pd.DataFrame:
+        def one(data: bytes | None) -> tuple[int | None, int | None, str | None]:
+            try:
+                levels = png.decode(data) if data is not None else None
+            except ValueError:
+                levels = None
+            return (None, None, None) if levels is None else (levels.shape[1], levels.shape[0], dct_hash_value(levels_gray_value(levels)))
+
+        found = pd.DataFrame([one(f) for f in files], columns=["width", "height", "perceptual_hash"])
+        return found.astype({"width": "Int32", "height": "Int32", "perceptual_hash": "object"})
+
+    return F.pandas_udf(facts, "width int, height int, perceptual_hash string")(content)
+
+
+def decoded(files: DataFrame, key: str = "path", colours: bool = False) -> DataFrame:
+    """``key``, width, height, pixels of PNG files (``key``, content): gray levels in 0 to 1, or three a pixel. A file that can't be decoded is an error."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, data in zip(batch[key], batch["content"], strict=True):  # a batch for each picture: pixels are many times a file's size
+                try:
+                    levels = png.decode(data or b"")
+                except ValueError as e:
+                    raise ValueError(f"{k}: {e}") from e
+                values = (levels if levels.ndim == 3 else np.repeat(levels[:, :, None], 3, axis=2)) / 255.0 if colours else levels_gray_value(levels)
+                yield pd.DataFrame({key: [k], "width": [levels.shape[1]], "height": [levels.shape[0]], "pixels": [values.ravel()]})
+
+    return files.select(key, "content").mapInPandas(scan, f"{key} string, width int, height int, pixels array<double>")
+
+
+def preprocessed(images: DataFrame, process: Callable[[list[np.ndarray]], np.ndarray], shape: tuple[int, ...], key: str = "sample_id") -> DataFrame:
+    """``key``, tensor (flat, single precision): what ``process`` makes of a batch's images. Another shape, or a value that isn't finite, is an error."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pictures = [np.asarray(p, float).reshape((h, w, 3) if len(p) == 3 * h * w else (h, w)) for p, h, w in zip(batch["pixels"], batch["height"], batch["width"], strict=True)]
+            made = np.asarray(process(pictures), np.float32) if pictures else np.zeros((0, *shape), np.float32)
+            if made.shape != (len(pictures), *shape):
+                raise ValueError(f"the processor gave shape {made.shape} for {len(pictures)} images of {shape}")
+            if not np.isfinite(made).all():
+                raise ValueError("the processor gave values that aren't finite")
+            yield pd.DataFrame({key: batch[key], "tensor": [t.ravel() for t in made]})
+
+    return images.select(key, "pixels", "height", "width").mapInPandas(scan, f"{key} string, tensor array<float>")
+
+
+def thumbnails(files: DataFrame, side: int = 224, key: str = "path") -> DataFrame:
+    """``key``, thumbnail: a PNG file of at most ``side`` pixels a side for each PNG file (``key``, content), null for any other."""
+
+    def shrink(contents: pd.Series) -> pd.Series:
+        def one(data: bytes | None) -> bytes | None:
+            try:
+                return png.encode(np.rint(255 * thumbnail_value(png.decode(data) / 255.0, side))) if data is not None else None
+            except ValueError:
+                return None
+
+        return pd.Series([one(c) for c in contents], dtype="object")
+
+    return files.select(key, F.pandas_udf(shrink, "binary")("content").alias("thumbnail"))
+
+
 def enriched_hashes(manifest: DataFrame, files: DataFrame, images: DataFrame) -> DataFrame:
     """``manifest`` with content_checksum and perceptual_hash added or replaced, by path.
 

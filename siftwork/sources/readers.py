@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftwork.errors import DataIntegrityError
+from siftwork.functions import png
 from siftwork.functions.exprs import missing, normalized_filename_value, safe_relative_path
 from siftwork.operators import checks
+from siftwork.operators.images import png_facts
 from siftwork.sources.shared import materialized, scratch
 
 MANIFEST_SCHEMA = T.StructType(
@@ -103,9 +105,11 @@ SIGNATURES = r"^(?:89504E470D0A1A0A|FFD8FF|474946383[79]61|424D|49492[AB]00|4D4D
 
 
 def image_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path (relative, ``/`` between parts), suffix, length, content_checksum of all image files under a folder; suffixes without regard to case.
+    """path (relative, ``/`` between parts), suffix, length, content_checksum, width, height, perceptual_hash of all image files under a folder; suffixes without regard to case.
 
-    The checksum is the SHA-256 of the file's bytes, null for a file that is empty or doesn't begin as an image of any known format.
+    The checksum is the SHA-256 of the file's bytes, null for a file that is empty, doesn't begin as an
+    image of any known format, or begins as PNG and can't be decoded. Sizes and hashes are those of PNG
+    files; other formats have no codec here, so their sizes are null and their hashes empty.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     listed = spark.createDataFrame([(unquote(re.sub("^([^:/]+:)//(?=/)", r"\1", f)),) for f in files.inputFiles()], "path string")
@@ -113,8 +117,11 @@ def image_files(spark: SparkSession, folder: str) -> DataFrame:
     rows = files.select("path", "length", "content").unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
     relative = F.regexp_replace("path", "^.*?" + folder.strip("/").replace(".", r"\.") + "/", "")
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    checksum = F.when(F.hex(F.substring("content", 1, 12)).rlike(SIGNATURES), F.sha2("content", 256))
-    return rows.select(relative.alias("path"), suffix.alias("suffix"), "length", checksum.alias("content_checksum")).where(F.col("suffix").isin(*IMAGE_SUFFIXES))
+    images = rows.where(suffix.isin(*IMAGE_SUFFIXES)).withColumn("head", F.hex(F.substring("content", 1, 12)))
+    is_png = F.col("head").startswith(png.SIGNATURE.hex().upper())
+    seen = images.withColumn("seen", png_facts(F.when(is_png, F.col("content"))))
+    checksum = F.when(F.col("head").rlike(SIGNATURES) & (~is_png | F.col("seen.width").isNotNull()), F.sha2("content", 256))
+    return seen.select(relative.alias("path"), suffix.alias("suffix"), "length", checksum.alias("content_checksum"), "seen.width", "seen.height", F.coalesce("seen.perceptual_hash", F.lit("")).alias("perceptual_hash"))
 
 
 def _tree(spark: SparkSession, root: str, label: Column, family: Column, dataset_name: str) -> DataFrame:
@@ -125,7 +132,7 @@ def _tree(spark: SparkSession, root: str, label: Column, family: Column, dataset
     identity = F.regexp_replace("path", r"\.[^./]+$", "")
     return canonical(rows.select(
         F.concat(F.lit(f"{dataset_name}:"), identity).alias("sample_id"), "path", "label", F.lit(dataset_name).alias("dataset_name"), F.lit("local").alias("dataset_version"), F.col("family").alias("generator_family"),
-        identity.alias("source_group_id"), identity.alias("original_image_id"), F.col("suffix").alias("file_format"), F.lit("unknown").alias("licence_identifier"), "content_checksum",
+        identity.alias("source_group_id"), identity.alias("original_image_id"), F.col("suffix").alias("file_format"), F.lit("unknown").alias("licence_identifier"), "content_checksum", "width", "height", "perceptual_hash",
     ))
 
 
@@ -151,12 +158,12 @@ def pair_list(csv_path: str, folder: str, dataset_name: str, family: str = "synt
         checks.enforce(pairs.where(missing(F.col("real")) | missing(F.col("fake"))).select("real", "fake"), what="pairs with a blank name")
         sides = pairs.select("real", "fake", F.explode(F.array(F.struct(F.lit(0).alias("label"), F.col("real").alias("wanted")), F.struct(F.lit(1).alias("label"), F.col("fake").alias("wanted")))).alias("s")).select("real", "s.*")
         checks.enforce(checks.repeated_keys(sides, "wanted").select("wanted"), what="files in two pairs")
-        files = image_files(spark, folder).select(F.col("path").alias("name"), "content_checksum")
+        files = image_files(spark, folder).select(F.col("path").alias("name"), "content_checksum", "width", "height", "perceptual_hash")
         found = resolve_names(sides, files, "wanted").join(files, "name", "left")
         checks.enforce(found.where("name is null").select("wanted"), what="files that aren't there")
         return canonical(found.select(
             F.concat(F.lit(f"{dataset_name}:"), F.col("name")).alias("sample_id"), F.col("name").alias("path"), "label", F.lit(dataset_name).alias("dataset_name"), F.lit("local").alias("dataset_version"), F.when(F.col("label") == 0, "authentic").otherwise(F.lit(family)).alias("generator_family"),
-            F.concat(F.lit(f"{dataset_name}:"), F.col("real")).alias("source_group_id"), F.col("name").alias("original_image_id"), F.lower(F.regexp_extract("name", r"\.([^./]+)$", 1)).alias("file_format"), F.lit("unknown").alias("licence_identifier"), "content_checksum",
+            F.concat(F.lit(f"{dataset_name}:"), F.col("real")).alias("source_group_id"), F.col("name").alias("original_image_id"), F.lower(F.regexp_extract("name", r"\.([^./]+)$", 1)).alias("file_format"), F.lit("unknown").alias("licence_identifier"), "content_checksum", "width", "height", "perceptual_hash",
         ))
 
     return scan

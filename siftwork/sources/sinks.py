@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import json
 import math
@@ -111,11 +112,22 @@ def robustness_csv(rows: DataFrame, path: str) -> None:
     write_text("\n".join(lines) + "\n", path)
 
 
+#: Reports are read by people: more rows are an error, never a cut.
+MOST_ROWS = 10_000
+
+
+def _report_rows(rows: DataFrame) -> list:
+    found = rows.limit(MOST_ROWS + 1).collect()
+    if len(found) > MOST_ROWS:
+        raise DataIntegrityError(f"a report holds at most {MOST_ROWS} rows")
+    return found
+
+
 def markdown_table(rows: DataFrame, columns: list[str]) -> str:
     """A Markdown table of a small report; pipes and markup in cells are escaped."""
     cell = lambda v: html_escaped_value(str(v)).replace("|", "\\|").replace("\n", " ")
     out = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
-    out += ["| " + " | ".join(cell(r[c]) for c in columns) + " |" for r in rows.select(*columns).collect()]
+    out += ["| " + " | ".join(cell(r[c]) for c in columns) + " |" for r in _report_rows(rows.select(*columns))]
     return "\n".join(out) + "\n"
 
 
@@ -153,14 +165,20 @@ def run_of_candidate(candidates: DataFrame, runs: list[str]) -> DataFrame:
     return found.withColumn("run", F.coalesce("run", lost))
 
 
-def error_gallery(cases: DataFrame, manifest: DataFrame) -> str:
-    """An HTML page of error cases with their paths; a case that the manifest lacks is an error. Reports hold at most a few dozen rows."""
-    joined = cases.join(manifest.select("sample_id", "path", "dataset_name"), "sample_id", "left").collect()
+def error_gallery(cases: DataFrame, manifest: DataFrame, pictures: DataFrame | None = None) -> str:
+    """An HTML page of error cases with their paths; a case that the manifest lacks is an error.
+
+    ``pictures`` (path, thumbnail), as ``images.thumbnails`` gives them, puts thumbnails into the page in place of paths.
+    """
+    found = cases.join(manifest.select("sample_id", "path", "dataset_name"), "sample_id", "left")
+    small = found.join(pictures.select("path", "thumbnail"), "path", "left") if pictures is not None else found.withColumn("thumbnail", F.lit(None).cast("binary"))
+    joined = _report_rows(small)
     lost = [r["sample_id"] for r in joined if r["path"] is None]
     if lost:
         raise DataIntegrityError(f"samples that the manifest lacks: {', '.join(lost[:3])}")
     e = html_escaped_value
-    figures = "".join(f"<figure><img src=\"{e(r['path'])}\" alt=\"\"><figcaption>{e(r['sample_id'])} ({e(r['dataset_name'])}): {r['score']:.4f}</figcaption></figure>" for r in joined)
+    shown = lambda r: "data:image/png;base64," + base64.b64encode(r["thumbnail"]).decode() if r["thumbnail"] else e(r["path"])
+    figures = "".join(f"<figure><img src=\"{shown(r)}\" alt=\"\"><figcaption>{e(r['sample_id'])} ({e(r['dataset_name'])}): {r['score']:.4f}</figcaption></figure>" for r in joined)
     return f"<!doctype html><title>Error cases</title>{figures}\n"
 
 

@@ -1,12 +1,17 @@
 import hashlib
 import json
 import os
+import struct
+import zlib
 from xml.etree import ElementTree
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from siftwork.errors import DataIntegrityError
+from siftwork.functions import png
+from siftwork.operators import images
 from siftwork.sources import readers, sinks
 from siftwork.streaming import acquire
 
@@ -45,8 +50,11 @@ def test_pair_list(spark, tmp_path):
 def test_files_are_read(spark, tmp_path):
     from siftwork.operators import groups
 
-    png, jpeg, webp = b"\x89PNG\r\n\x1a\n" + b"1" * 40, b"\xff\xd8\xff\xe0" + b"2" * 40, b"RIFF\x0a\x0a\x0a\x0aWEBP" + b"3"
-    data = {"real/a.png": png, "fake/flux/copy.png": png, "real/b.jpg": jpeg, "fake/flux/w é%20 1.webp": webp, "fake/flux/empty.png": b"", "real/text.png": b"not an image"}
+    levels = np.random.default_rng(3).integers(0, 256, (40, 50, 3))
+    picture, again = png.encode(levels), png.encode(levels)
+    again = again[:33] + struct.pack(">I", 4) + b"tEXt" + b"a\0bc" + struct.pack(">I", zlib.crc32(b"tEXta\0bc")) + again[33:]
+    jpeg, webp = b"\xff\xd8\xff\xe0" + b"2" * 40, b"RIFF\x0a\x0a\x0a\x0aWEBP" + b"3"
+    data = {"real/a.png": picture, "fake/flux/copy.png": picture, "real/noted.png": again, "real/cut.png": picture[:-20], "real/bad.png": picture[:60] + bytes([picture[60] ^ 1]) + picture[61:], "real/b.jpg": jpeg, "fake/flux/w é%20 1.webp": webp, "fake/flux/empty.png": b"", "real/text.png": b"not an image"}
     for name, content in data.items():
         touch(tmp_path, f"t/{name}")
         with open(f"{tmp_path}/t/{name}", "wb") as f:
@@ -54,7 +62,7 @@ def test_files_are_read(spark, tmp_path):
     with open(f"{tmp_path}/pairs.csv", "w") as f:
         f.write("fake,real\nfake/flux/copy.png,real/a.png\nfake/flux/empty.png,real/text.png\n")
     tree, pairs = readers.nested_tree(f"{tmp_path}/t", "wild"), readers.pair_list(f"{tmp_path}/pairs.csv", f"{tmp_path}/t", "pairs")
-    for source, bad in ((tree, {"wild:fake/flux/empty", "wild:real/text"}), (pairs, {"pairs:fake/flux/empty.png", "pairs:real/text.png"})):
+    for source, bad in ((tree, {"wild:fake/flux/empty", "wild:real/text", "wild:real/cut", "wild:real/bad"}), (pairs, {"pairs:fake/flux/empty.png", "pairs:real/text.png"})):
         valid, violations = readers.build_manifest(spark, [source], most_corrupt=0.5)
         assert {tuple(r) for r in violations.collect()} == {(i, "content_checksum") for i in bad}
         assert all(r["content_checksum"] == hashlib.sha256(data[r["path"]]).hexdigest() for r in valid.collect())
@@ -62,7 +70,9 @@ def test_files_are_read(spark, tmp_path):
             readers.build_manifest(spark, [source])
     grouped = groups.split_groups(readers.build_manifest(spark, [tree], most_corrupt=0.5)[0])
     group = {r["path"]: r["split_group_id"] for r in grouped.collect()}
-    assert len(group) == 4 and len(set(group.values())) == 3 and group["real/a.png"] == group["fake/flux/copy.png"]
+    assert len(group) == 5 and len(set(group.values())) == 3 and group["real/a.png"] == group["fake/flux/copy.png"] == group["real/noted.png"]
+    seen = {r["path"]: (r["width"], r["height"], r["perceptual_hash"]) for r in readers.build_manifest(spark, [tree], most_corrupt=0.5)[0].collect()}
+    assert seen["real/a.png"] == seen["real/noted.png"] == (50, 40, images.dct_hash_value(images.gray_value(levels / 255.0))) and seen["real/b.jpg"] == (None, None, "")
 
 
 def test_labelled_rows_and_manifest(spark, tmp_path):
@@ -187,3 +197,75 @@ def test_acquisition_ends_when_caps_are_full(spark, tmp_path):
     with open(f"{shards}/part-damaged.parquet", "wb") as f:
         f.write(b"never read")
     assert acquire.acquire(spark, *args).count() == 10
+
+
+def packed(rows, width, height, depth, colour, interlaced=0, extra=b""):
+    """A PNG file of rows that are filtered and packed already."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return png.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, colour, 0, 0, interlaced)) + extra + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
+def filtered(rows, step):
+    """Rows of bytes under filters 0 to 4 in turn, by the format's definition, byte by byte."""
+    out = bytearray()
+    for y, row in enumerate(rows):
+        kind = y % 5
+        out.append(kind)
+        for i, v in enumerate(row):
+            a, b = (row[i - step] if i >= step else 0), (rows[y - 1][i] if y else 0)
+            c = rows[y - 1][i - step] if y and i >= step else 0
+            p = a + b - c
+            near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            out.append((v - (0, a, b, (a + b) // 2, near)[kind]) & 255)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("colour, per", [(0, 1), (2, 3), (4, 2), (6, 4)])
+def test_png_filters(colour, per):
+    levels = np.random.default_rng(colour).integers(0, 256, (11, 7, per))
+    rows = [bytes(r.ravel().tolist()) for r in levels]
+    want = levels[:, :, 0] if per < 3 else levels[:, :, :3]
+    assert (png.decode(packed(filtered(rows, per), 7, 11, 8, colour)) == want).all()
+    wide = [bytes(x for v in r for x in (v, 99)) for r in rows]
+    assert (png.decode(packed(filtered(wide, 2 * per), 7, 11, 16, colour)) == want).all()
+    passes = b"".join(filtered([bytes(r.ravel().tolist()) for r in levels[y::dy, x::dx]], per) for x, y, dx, dy in ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)) if levels[y::dy, x::dx].size)
+    assert (png.decode(packed(passes, 7, 11, 8, colour, interlaced=1)) == want).all()
+
+
+def test_png_depths_and_damage():
+    bits = np.random.default_rng(1).integers(0, 2, (5, 11))
+    assert (png.decode(packed(filtered([np.packbits(r.astype(np.uint8)).tobytes() for r in bits], 1), 11, 5, 1, 0)) == 255 * bits).all()
+    colours = np.random.default_rng(2).integers(0, 256, (4, 3))
+    body = bytes(colours.ravel().tolist())
+    palette = struct.pack(">I", 12) + b"PLTE" + body + struct.pack(">I", zlib.crc32(b"PLTE" + body))
+    index = np.array([[0, 1, 2, 3, 3]])
+    assert (png.decode(packed(b"\0\x1b\xc0", 5, 1, 2, 3, extra=palette)) == colours[index]).all()
+    levels = np.arange(60).reshape(4, 5, 3)
+    whole = png.encode(levels)
+    assert (png.decode(whole) == levels).all() and (png.decode(png.encode(levels[:, :, 0])) == levels[:, :, 0]).all()
+    for bad in (b"", whole[:20], whole[:-1], whole[:50] + b"x" + whole[51:], packed(b"\0\xff", 5, 1, 8, 0), packed(b"\0\xff", 1, 1, 8, 3), packed(b"\7\xff", 1, 1, 8, 0), packed(b"", 1 << 20, 1 << 20, 8, 0)):
+        with pytest.raises(ValueError):
+            png.decode(bad)
+
+
+def test_decoded_and_preprocessed(spark):
+    levels = np.random.default_rng(4).integers(0, 256, (300, 400, 3))
+    files = spark.createDataFrame([("a.png", png.encode(levels)), ("b.png", png.encode(levels[:, :, 0]))], "path string, content binary")
+    rows = {r["path"]: r for r in images.decoded(files).collect()}
+    assert (rows["a.png"]["width"], rows["a.png"]["height"]) == (400, 300)
+    assert np.allclose(rows["a.png"]["pixels"], images.gray_value(levels / 255.0).ravel()) and np.allclose(rows["b.png"]["pixels"], levels[:, :, 0].ravel() / 255.0)
+    assert np.allclose(images.decoded(files.where("path = 'a.png'"), colours=True).first()["pixels"], levels.ravel() / 255.0)
+    with pytest.raises(Exception, match="c.png"):
+        images.decoded(spark.createDataFrame([("c.png", b"no")], "path string, content binary")).collect()
+    small = images.decoded(files).withColumnRenamed("path", "sample_id")
+    mean = images.preprocessed(small, lambda batch: np.array([[b.mean(), b.max()] for b in batch]), (2,))
+    assert all(len(r["tensor"]) == 2 for r in mean.collect())
+    for wrong in (lambda batch: np.zeros((len(batch), 3)), lambda batch: np.full((len(batch), 2), np.nan)):
+        with pytest.raises(Exception, match="processor"):
+            images.preprocessed(small, wrong, (2,)).collect()
+    shown = images.thumbnails(files.unionByName(spark.createDataFrame([("c.png", b"no")], files.schema)))
+    sizes = {r["path"]: None if r["thumbnail"] is None else png.decode(r["thumbnail"]).shape for r in shown.collect()}
+    assert sizes == {"a.png": (168, 224, 3), "b.png": (168, 224), "c.png": None}
+    cases = spark.createDataFrame([("s", 0.5)], "sample_id string, score double")
+    manifest = spark.createDataFrame([("s", "a.png", "d")], "sample_id string, path string, dataset_name string")
+    assert 'src="data:image/png;base64,' in sinks.error_gallery(cases, manifest, shown)
