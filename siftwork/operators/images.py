@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from siftwork.functions import png
 from siftwork.functions.exprs import stable_seed_value
-from siftwork.sources.registry import CONDITIONS, FAMILIES
+from siftwork.sources.registry import CONDITIONS, FAMILIES, STRESS
 
 
 def dct_hash_value(gray: np.ndarray, size: int = 8, factor: int = 4) -> str:
@@ -88,6 +88,17 @@ def crop_value(image: np.ndarray, fraction: float) -> np.ndarray:
     return resampled_value(image[top : top + ch, left : left + cw], h, w)
 
 
+def screenshot_value(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """As shown in the middle of a white screen of height x width, as large as it fits, and the whole screen brought back to the image's size."""
+    h, w = image.shape[:2]
+    scale = min(height / h, width / w)
+    shown = resampled_value(image, min(height, _scaled(h, scale)), min(width, _scaled(w, scale)))
+    screen = np.ones((height, width, *image.shape[2:]))
+    top, left = (height - shown.shape[0]) // 2, (width - shown.shape[1]) // 2
+    screen[top : top + shown.shape[0], left : left + shown.shape[1]] = shown
+    return resampled_value(screen, h, w)
+
+
 def gray_value(image: np.ndarray) -> np.ndarray:
     """Luma by the weights 0.299, 0.587, 0.114; a gray image as it is."""
     return image if image.ndim == 2 else image @ np.array([0.299, 0.587, 0.114])
@@ -193,6 +204,32 @@ def perturbed(images: DataFrame, family: str, severity: float, seed: int, key: s
     return images.mapInPandas(scan, images.schema)
 
 
+def stressed(images: DataFrame, condition_id: str) -> DataFrame:
+    """``images`` under one of the stress conditions; sizes and columns stay. Screenshots need no codec that loses, WebP is refused."""
+    parameters = {c.condition_id: c.parameters for c in STRESS}[condition_id]
+    if "canvas_width" not in parameters:
+        raise ValueError(f"{condition_id} needs an image codec, which isn't available")
+    height, width = int(parameters["canvas_height"]), int(parameters["canvas_width"])
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            pictures = (np.asarray(p, float).reshape((h, w, 3) if len(p) == 3 * h * w else (h, w)) for p, h, w in zip(batch["pixels"], batch["height"], batch["width"], strict=True))
+            yield batch.assign(pixels=[screenshot_value(p, height, width).ravel() for p in pictures])
+
+    return images.mapInPandas(scan, images.schema)
+
+
+def encoded(images: DataFrame, key: str = "sample_id") -> DataFrame:
+    """``key``, content: a PNG file of each image's pixels, rounded to 256 levels."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            files = [png.encode(np.rint(255 * np.asarray(p, float)).reshape((h, w, 3) if len(p) == 3 * h * w else (h, w))) for p, h, w in zip(batch["pixels"], batch["height"], batch["width"], strict=True)]
+            yield pd.DataFrame({key: batch[key], "content": files})
+
+    return images.select(key, "pixels", "height", "width").mapInPandas(scan, f"{key} string, content binary")
+
+
 def png_facts(content: Column) -> Column:
     """width, height, perceptual_hash of PNG files; all null for null, and for a file that can't be decoded whole."""
 

@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.errors import DataIntegrityError
-from siftwork.functions.exprs import html_escaped_value
+from siftwork.functions.exprs import html_escaped_value, missing
+from siftwork.operators import checks
+from siftwork.operators.images import encoded
 
 
 def _fs(spark: SparkSession, path: str):
@@ -201,6 +203,13 @@ def predictions_json(rows: DataFrame, path: str) -> None:
         shutil.rmtree(staged, ignore_errors=True)
 
 
+def save_pictures(images: DataFrame, path: str, key: str = "sample_id") -> None:
+    """Pictures as a table of PNG files (``key``, path, content), whole or not at all; a blank or repeated id is an error, before anything is written."""
+    checks.enforce(images.where(missing(F.col(key))).select(key), what="pictures without an id")
+    checks.enforce(checks.repeated_keys(images, key), what="repeated picture ids")
+    write_parquet(encoded(images, key).select(key, F.concat(F.lit("images/"), F.sha2(key, 256), F.lit(".png")).alias("path"), "content"), path)
+
+
 def append_history(rows: DataFrame, path: str) -> None:
     """JSON lines, appended."""
     rows.write.mode("append").json(path)

@@ -269,3 +269,23 @@ def test_decoded_and_preprocessed(spark):
     cases = spark.createDataFrame([("s", 0.5)], "sample_id string, score double")
     manifest = spark.createDataFrame([("s", "a.png", "d")], "sample_id string, path string, dataset_name string")
     assert 'src="data:image/png;base64,' in sinks.error_gallery(cases, manifest, shown)
+
+
+def test_screenshots_and_saved_pictures(spark, tmp_path):
+    white = np.ones((60, 80, 3))
+    assert np.allclose(images.screenshot_value(white, 90, 144), 1.0)
+    dark = images.screenshot_value(np.zeros((90, 90)), 90, 144)  # 27 white columns on each side of the screen
+    assert np.allclose(dark[:, :12], 1.0) and np.allclose(dark[:, 30:60], 0.0, atol=1e-9) and abs(dark.mean() - 54 / 144) < 0.01
+    wide = images.screenshot_value(np.linspace(0, 1, 16 * 10).reshape(10, 16), 900, 1440)
+    assert np.abs(wide - np.linspace(0, 1, 160).reshape(10, 16)).max() < 0.05  # of the screen's proportions: nothing is added
+    levels = np.random.default_rng(6).integers(0, 256, (20, 30, 3))
+    rows = spark.createDataFrame([("a", 30, 20, (levels / 255.0).ravel().tolist()), ("b", 30, 20, (levels[:, :, 0] / 255.0).ravel().tolist())], "sample_id string, width int, height int, pixels array<double>")
+    assert images.stressed(rows, "screenshot_1080").count() == 2
+    with pytest.raises(ValueError, match="codec"):
+        images.stressed(rows, "webp_q80")
+    sinks.save_pictures(rows, f"{tmp_path}/pictures")
+    saved = {r["sample_id"]: r for r in spark.read.parquet(f"{tmp_path}/pictures").collect()}
+    assert (png.decode(bytes(saved["a"]["content"])) == levels).all() and (png.decode(bytes(saved["b"]["content"])) == levels[:, :, 0]).all()
+    with pytest.raises(DataIntegrityError, match="repeated"):
+        sinks.save_pictures(rows.unionByName(rows), f"{tmp_path}/again")
+    assert not os.path.exists(f"{tmp_path}/again")
