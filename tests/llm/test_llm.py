@@ -312,6 +312,18 @@ def test_flac_damage_shows():
         op.decode_batch([media[:-30]])
 
 
+def test_flac_foreign_stream_alone(monkeypatch):
+    """A stream that the batched decoder doesn't take goes to the general one without the rest of its batch."""
+    from siftwork.llm import flac as op
+
+    texts = [op.padded(b"text %d " % i * (i + 1)) for i in range(40)]
+    media = op.encode_batch(texts)
+    batched, general, calls = op._decode_own, op.decode_stream, []
+    monkeypatch.setattr(op, "_decode_own", lambda streams, infos: None if media[7] in streams or media[30] in streams else batched(streams, infos))
+    monkeypatch.setattr(op, "decode_stream", lambda s: calls.append(s) or general(s))
+    assert op.decode_batch(media) == texts and sorted(calls) == sorted([media[7], media[30]]) and op.decode_batch([]) == []
+
+
 def lpc_stream(samples, weights, shift, bits=16):
     """A stereo FLAC stream of one frame with linear predictors, partitions and an escape, written bit by bit."""
     from siftwork.llm import flac as op
