@@ -5,7 +5,8 @@ occurs earlier (smaller doc_id, or the same document further up) covers its thre
 covered lines go; windows are judged on the input. Windows are counted with map-side combination;
 the first places of repeated windows are written out, so that the join back has exchanges on both
 sides that adaptive execution may split where one window is hot. Columns stay flat and each text is
-shuffled once, in the join of the documents with their covered lines.
+shuffled once, in the join of the documents with their covered lines. Both joins merge sorted sides at
+every size: repeated windows and covered lines grow with the corpus, so neither is broadcast.
 
 Defined results: null texts stay null with 0 lines; an empty text is one empty line; documents of
 fewer than three lines have no window and stay whole; windows without any word are no windows, so
@@ -51,7 +52,7 @@ def covered_lines(docs: DataFrame) -> DataFrame:
         places = written(window_places(docs))
         place = F.struct("doc_id", "version", "at")
         first = written(places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first"))
-        later = places.join(first, ["h1", "h2"]).where(place > F.col("first"))
+        later = places.join(first.hint("merge"), ["h1", "h2"]).where(place > F.col("first"))
         starts = later.groupBy("doc_id", "version").agg(F.collect_set("at").alias("starts"))
         return keep(starts.select("doc_id", "version", F.flatten(F.transform("starts", lambda s: F.array(*(s + k for k in range(LINES))))).alias("covered")))
 
@@ -62,7 +63,7 @@ def _judged(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     flat = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
     doc, text = names["doc_id"], names["text"]
     covered = covered_lines(docs.select("doc_id", "text")).select(F.col("doc_id").alias("covered_doc"), F.col("version").alias("covered_version"), "covered")
-    joined = flat.join(covered, (F.col(doc) == F.col("covered_doc")) & (F.xxhash64(text) == F.col("covered_version")), "left")
+    joined = flat.join(covered.hint("merge"), (F.col(doc) == F.col("covered_doc")) & (F.xxhash64(text) == F.col("covered_version")), "left")
 
     def without(x):
         stay = F.array_except(F.sequence(F.lit(0), F.size(x) - 1), "covered")
