@@ -42,7 +42,8 @@ def hash_pairs(manifest: DataFrame, radius: int, column: str = "perceptual_hash"
 
     An equality join on (mask, bits under it) finds them all; at radius 4 a mask has 32 bits, so
     that candidates don't grow with the square of the hashes until there are billions. Equal hashes are
-    one value here, so a frequent hash costs one row for each mask.
+    one value here, so a frequent hash costs one row for each mask. The join merges: Spark takes a side's size
+    from the file of hashes, before each becomes a row for each mask, and would broadcast it through the driver.
     """
     if not 0 <= radius <= 63:
         raise ValueError("radius must be from 0 to 63")
@@ -57,7 +58,7 @@ def hash_pairs(manifest: DataFrame, radius: int, column: str = "perceptual_hash"
     # unsigned order, which is that of the digits
     unsigned = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
     distance = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).cast("int")
-    near = left.join(right, ["i", "part"]).where(unsigned("x") < unsigned("y")).where(distance <= radius).select("x", "y", distance.alias("distance")).distinct()
+    near = left.join(right.hint("merge"), ["i", "part"]).where(unsigned("x") < unsigned("y")).where(distance <= radius).select("x", "y", distance.alias("distance")).distinct()
     digits = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     return near.select(digits("x").alias("a"), digits("y").alias("b"), "distance")
 

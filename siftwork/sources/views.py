@@ -37,23 +37,33 @@ def shape_hash(text: Column) -> Column:
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    lines = F.size(F.split("text", "\n", -1))
-    return docs.join(labels, "doc_id", "left").select(
+    """Texts become digests before the join, which deals rows out by doc_id at every size: no text is shuffled, no label goes through the driver."""
+    lines = F.split("text", "\n", -1)
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "lang",
+        "source",
+        "n_chars",
+        F.md5(F.element_at(lines, 1)).alias("source_group_id"),
+        F.size(lines).alias("height"),
+        F.sha2("text", 256).alias("content_checksum"),
+        shape_hash(F.col("text")).alias("perceptual_hash"),
+    )
+    return docs.join(table(spark, sf_dir, "labels").hint("merge"), "doc_id", "left").select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("sample_id"),
         F.concat(F.lit("documents/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
         F.col("toxic").cast("int").alias("label"),
         F.col("source").alias("dataset_name"),
         F.lit("v1").alias("dataset_version"),
         F.when(F.col("toxic") == 0, "authentic").when(F.col("toxic") == 1, F.col("lang")).alias("generator_family"),
-        F.md5(F.element_at(F.split("text", "\n", -1), 1)).alias("source_group_id"),
+        "source_group_id",
         F.col("doc_id").cast("string").alias("original_image_id"),
         F.col("n_chars").cast("int").alias("width"),
-        lines.alias("height"),
+        "height",
         F.when(F.col("n_chars") < 500, "short").when(F.col("n_chars") < 3000, "medium").otherwise("long").alias("file_format"),
         F.when(F.col("quality") == 1, "open").when(F.col("quality") == 0, " ").alias("licence_identifier"),
-        F.sha2("text", 256).alias("content_checksum"),
-        shape_hash(F.col("text")).alias("perceptual_hash"),
+        "content_checksum",
+        "perceptual_hash",
         F.lit("unassigned").alias("split"),
     )
 

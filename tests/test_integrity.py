@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftwork.errors import DataIntegrityError, LeakageError
 from siftwork.operators import audit, checks, groups, split
 from siftwork.operators.graph import connected_components
+from siftwork.sources import views
 
 AUDIT = [
     (0, "sid", "authentic", "PNG", 100, 50, "a", "known"),
@@ -100,6 +101,17 @@ def test_radius_join_equals_brute_force(spark, radius):
     assert got == [w for w in want if w[2] <= radius]
 
 
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_radius_join_and_manifest_go_around_the_driver(spark, tmp_path):
+    df = spark.createDataFrame([(f"{v:016x}",) for v in (1, 3, 1 << 40)], "perceptual_hash string")
+    assert "Broadcast" not in executed(groups.hash_pairs(df, 4))
+    plan = executed(views.manifest(spark, "/root/testdata/sf0.001"))
+    assert "Broadcast" not in plan and plan.index("SortMergeJoin") < plan.index("md5(")  # digests are taken below the join
+
+
 def test_masks_hold_all_pairs_within_the_radius():
     rng = random.Random(3)
     for radius in (0, 1, 2, 4, 8, 20, 63):
