@@ -15,6 +15,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     hub costs one row for each map task), moves what has that label's owner as label along, and then
     jumps labels over labels, which halves long chains. A round is one job; it is written to shared
     storage, so a lost executor costs one round at most, and counts its moves while it is written.
+    Joins merge: labels grow with the vertices, and as a broadcast each round's would go through the driver.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
     with scratch(edges.sparkSession) as keep:
@@ -22,13 +23,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         label = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("l"))
         label = materialized(label)
         for _ in range(max_rounds):
-            seen = both.join(label.select(F.col("a").alias("b"), F.col("l").alias("n")), "b").groupBy("a").agg(F.min("n").alias("n"))
-            hooked = label.join(seen, "a").select("a", F.col("l").alias("was"), F.least("l", "n").alias("l"))
+            seen = both.join(label.select(F.col("a").alias("b"), F.col("l").alias("n")).hint("merge"), "b").groupBy("a").agg(F.min("n").alias("n"))
+            hooked = label.join(seen.hint("merge"), "a").select("a", F.col("l").alias("was"), F.least("l", "n").alias("l"))
             # what a root's members have seen moves the root itself
             lowered = hooked.where("l < was").groupBy(F.col("was").alias("a")).agg(F.min("l").alias("low"))
-            moved = hooked.join(lowered, "a", "left").select("a", "was", F.least("l", F.coalesce("low", "l")).alias("l"))
+            moved = hooked.join(lowered.hint("merge"), "a", "left").select("a", "was", F.least("l", F.coalesce("low", "l")).alias("l"))
             jump = label.select(F.col("a").alias("l"), F.col("l").alias("far"))
-            after = moved.join(jump, "l", "left").select("a", "was", F.least("l", F.coalesce("far", "l")).alias("l"))
+            after = moved.join(jump.hint("merge"), "l", "left").select("a", "was", F.least("l", F.coalesce("far", "l")).alias("l"))
             moves = Observation()
             label = materialized(after.observe(moves, F.count_if(F.col("l") != F.col("was")).alias("n")).select("a", "l"))
             if not moves.get["n"]:

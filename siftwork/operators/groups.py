@@ -14,11 +14,15 @@ from siftwork.sources.shared import materialized, scratch
 
 
 def equal_value_links(manifest: DataFrame, column: str, key: str = "sample_id", fold_case: bool = False) -> DataFrame:
-    """x, y: each row and the least row of its value. A star for each value, never all pairs."""
+    """x, y: each row and the least row of its value. A star for each value, never all pairs.
+
+    This join and those below merge: each side grows with the rows, and its compressed file is far smaller
+    than the table that a broadcast would build in the driver.
+    """
     value = F.lower(F.col(column)) if fold_case else F.col(column)
     rows = manifest.select(F.col(key).alias("y"), value.alias("v")).where("v is not null and v <> ''")
     least = materialized(rows.groupBy("v").agg(F.min("y").alias("x"), F.count("*").alias("n")).where("n > 1").select("v", "x"))
-    return rows.join(least, "v").where("x <> y").select("x", "y")
+    return rows.join(least.hint("merge"), "v").where("x <> y").select("x", "y")
 
 
 #: Most keys for each hash: more agreeing bands make fewer candidates, but more keys.
@@ -68,7 +72,8 @@ def duplicate_links(manifest: DataFrame, radius: int = 4) -> DataFrame:
     same = equal_value_links(manifest, "source_group_id").unionByName(equal_value_links(manifest, "content_checksum", fold_case=True)).unionByName(equal_value_links(manifest, "perceptual_hash", fold_case=True))
     least = manifest.select(F.lower("perceptual_hash").alias("h"), "sample_id").groupBy("h").agg(F.min("sample_id").alias("s"))
     pairs = hash_pairs(manifest, radius)
-    near = pairs.join(least.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(least.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
+    first, second = (least.select(F.col("h").alias(h), F.col("s").alias(s)).hint("merge") for h, s in (("a", "x"), ("b", "y")))
+    near = pairs.join(first, "a").join(second, "b")
     return same.unionByName(near.select("x", "y")).distinct()
 
 
@@ -77,5 +82,5 @@ def split_groups(manifest: DataFrame, radius: int = 4) -> DataFrame:
     with scratch(manifest.sparkSession) as keep:
         keys = materialized(manifest.select("sample_id", "source_group_id", "content_checksum", "perceptual_hash"))
         found = keep(connected_components(duplicate_links(keys, radius), "x", "y").select(F.col("id").alias("__id"), "component"))
-    joined = manifest.join(found, F.col("sample_id") == F.col("__id"), "left")
+    joined = manifest.join(found.hint("merge"), F.col("sample_id") == F.col("__id"), "left")
     return joined.withColumn("split_group_id", group_id(F.coalesce("component", "sample_id"))).drop("__id", "component")

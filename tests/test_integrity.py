@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwork.errors import DataIntegrityError, LeakageError
-from siftwork.operators import audit, checks, groups, split
+from siftwork.operators import audit, checks, graph, groups, split
 from siftwork.operators.graph import connected_components
-from siftwork.sources import views
+from siftwork.sources import shared, views
 
 AUDIT = [
     (0, "sid", "authentic", "PNG", 100, 50, "a", "known"),
@@ -112,6 +112,22 @@ def test_radius_join_and_manifest_go_around_the_driver(spark, tmp_path):
     assert "Broadcast" not in plan and plan.index("SortMergeJoin") < plan.index("md5(")  # digests are taken below the join
 
 
+def test_groups_go_around_the_driver(spark, monkeypatch):
+    plans, written = [], shared.materialized
+
+    def seen(df):
+        plans.append(executed(df))
+        return written(df)
+
+    for module in (shared, groups, graph):
+        monkeypatch.setattr(module, "materialized", seen)
+    h = "0" * 16
+    df = spark.createDataFrame([sample("a", source_group_id="g"), sample("b", source_group_id="g", content_checksum="a" * 64), sample("c", content_checksum="a" * 64, perceptual_hash=h), sample("d", perceptual_hash="0" * 15 + "1")], SCHEMA)
+    out = groups.split_groups(df, 4)
+    assert out.select("split_group_id").distinct().count() == 1
+    assert len(plans) > 5 and all("Broadcast" not in p for p in [*plans, executed(out)])
+
+
 def test_masks_hold_all_pairs_within_the_radius():
     rng = random.Random(3)
     for radius in (0, 1, 2, 4, 8, 20, 63):
