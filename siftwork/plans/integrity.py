@@ -198,7 +198,8 @@ SELECT sample_id, split_group_id, assigned.split FROM grouped JOIN assigned USIN
 
 @query(_SPLIT.replace(" l ON l.doc_id = d.doc_id\n)", " l ON l.doc_id = d.doc_id WHERE toxic IS NOT NULL\n)", 1))
 def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    policy = split.SplitPolicy(minimum_holdout_family_rows=3)
+    # as the SQL does, which asks for the validation holdout first
+    policy = split.SplitPolicy(minimum_holdout_family_rows=3, keep_linked_holdouts=True)
     labelled = manifest(spark, sf_dir).where("label is not null")
     return split.assign_splits(groups.split_groups(labelled, 4), policy).select("sample_id", "split_group_id", "split")
 

@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from siftwork import plans
 from siftwork.errors import DataIntegrityError, LeakageError
 from siftwork.operators import audit, checks, graph, groups, split
 from siftwork.operators.graph import connected_components
@@ -168,6 +169,33 @@ def test_split_assignment(spark):
         split.assign_splits(groups.split_groups(crossed, 4), policy)
 
 
+def test_linked_holdouts_go_to_validation_as_a_whole(spark):
+    df = families(spark, {"alpha": 30, "beta": 30, "gamma": 30})
+    crossed = df.withColumn("content_checksum", F.when(F.col("sample_id").isin("alpha:000", "beta:000"), "a" * 64).otherwise(F.col("content_checksum")))
+    policy = split.SplitPolicy(minimum_holdout_family_rows=30, validation_fraction=0.15, test_fraction=0.15, keep_linked_holdouts=True)
+    out = split.assign_splits(groups.split_groups(crossed, 4), policy)
+    got = dict(rows(out.select("sample_id", "split")))
+    assert len(got) == df.count() and got["alpha:000"] == "generator_validation" == got["beta:000"]
+    assert {got[f"alpha:{i:03d}"] for i in range(1, 30)} == {"generator_test"}
+    assert rows(checks.leaking_identities(out)) == []
+
+
+def test_split_assignment_keeps_linked_holdouts(spark, tmp_path):
+    """Of two texts of the holdout families with a first line in common, the query makes one group, as its SQL does."""
+    data = []
+    for i in range(120):
+        lang = ("en", "de", "fr")[i % 3] if i < 90 else "en"
+        text = f"first {i if i > 1 else 'line'}\n" + "".join(hashlib.sha256(f"{i}:{k}".encode()).hexdigest() for k in range(9))
+        data.append((i, text, lang, "s", len(text), 1, int(i < 90)))
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, quality int, toxic int")
+    df.drop("quality", "toxic").write.parquet(f"{tmp_path}/documents.parquet")
+    df.select("doc_id", "quality", "toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["sample_id"]: r["split"] for r in plans.QUERIES["split_assignment"](spark, str(tmp_path)).collect()}
+    # all families have 30 rows, so the first two by name are held out
+    assert len(got) == 120 and got["doc-0"] == got["doc-1"] == "generator_validation"
+    assert {got[f"doc-{i}"] for i in range(4, 90, 3)} == {"generator_test"} and {got[f"doc-{i}"] for i in range(3, 90, 3)} == {"generator_validation"}
+
+
 def test_sampling_weights(spark):
     data = list(zip("abcdefghi", [0, 0, 0, 1, 1, 1, 1, 1, 1], ["sid", "sid", "camera", "wild", "wild", "wild", "wild", "other", "other"], ["authentic"] * 3 + ["sdxl"] * 3 + ["flux"] + ["sdxl"] * 2, strict=True))
     df = spark.createDataFrame(data, "sample_id string, label int, dataset_name string, generator_family string")
